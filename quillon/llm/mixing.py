@@ -19,7 +19,7 @@ def domain_of(labels: DataFrame) -> DataFrame:
     return one.select("doc_id", F.when(F.col("t") == 1, "toxic").when(F.col("q") == 1, "high").otherwise("low").alias("domain"))
 
 
-def lexicon(docs: DataFrame, labelled: DataFrame, rows: int = 2000, words: int = 16, least: int = 5) -> dict[str, list[str]]:
+def lexicon(docs: DataFrame, labelled: DataFrame, rows: int = 1000, words: int = 16, least: int = 5) -> dict[str, list[str]]:
     """Per domain, the words whose document share most exceeds that of the other domains.
 
     Learned from ``rows`` labelled rows per domain (a bounded sample, smallest id hash first); the driver
