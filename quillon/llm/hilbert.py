@@ -28,6 +28,10 @@ def _common_prefix(low: str | None, high: str | None) -> int:
     return n
 
 
+def _edges_below(edges: list[float], value: Column) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda edge: edge < value)) if edges else F.lit(0)
+
+
 def quantise(df: DataFrame, dims: list[str], bits: int) -> dict[str, Column]:
     """Grid coordinates 0 .. 2**bits-1 per dimension, cut at approximate quantiles of the whole table.
 
@@ -44,7 +48,7 @@ def quantise(df: DataFrame, dims: list[str], bits: int) -> dict[str, Column]:
     out = {}
     for i, d in enumerate(dims):
         edges = sorted(set(cuts[f"c{i}"] or []))
-        at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda edge, v=proxies[d]: edge < v)) if edges else F.lit(0)
+        at = _edges_below(edges, proxies[d])
         out[d] = F.when(F.col(f"`{d}`").isNull(), 0).otherwise(at).cast("long")
     return out
 
