@@ -62,7 +62,11 @@ def substring(queries: DataFrame, docs: DataFrame, limit: int = 3) -> DataFrame:
     sizes = [r["n"] for r in q.select(F.length("needle").alias("n")).distinct().collect()]  # distinct token lengths
     if not sizes:
         return q.select("query_id", F.lit(0).cast("long").alias("doc_id"), F.lit(1.0).alias("score")).where("false")
-    pieces = F.flatten(F.array(*[F.when(F.length("cleaned") >= n, F.transform(F.sequence(F.lit(1), F.length("cleaned") - n + 1), lambda i, n=n: F.substring("cleaned", i, n))).otherwise(F.array().cast("array<string>")) for n in sorted(sizes)]))
+
+    def substrings(n):
+        return F.when(F.length("cleaned") >= n, F.transform(F.sequence(F.lit(1), F.length("cleaned") - n + 1), lambda i: F.substring("cleaned", i, n))).otherwise(F.array().cast("array<string>"))
+
+    pieces = F.flatten(F.array(*map(substrings, sorted(sizes))))
     parts = docs.select("doc_id", F.explode(F.array_distinct(pieces)).alias("needle")).join(q.select("needle").distinct(), "needle", "left_semi")
     hits = q.join(parts, "needle")
     return hits.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).where(F.col("rn") <= limit).select("query_id", "doc_id", F.lit(1.0).alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,14 @@ def combinatorial(name: Column) -> Column:
     without accents, in capitals, and both; the lower-case name itself is left out."""
     lower = F.lower(name)
     found = F.array(lower)
-    for key, others in V.VARIANT_TERMS.items():
+
+    def fan(found, key, others):
         options = F.array(*map(F.lit, [key, *others]))
-        fan = F.array_distinct(F.flatten(F.transform(found, lambda v, k=key, o=options: F.transform(o, lambda alt: F.replace(v, F.lit(k), alt)))))
-        found = F.when(F.contains(lower, F.lit(key)), fan).otherwise(found)
+        wide = F.array_distinct(F.flatten(F.transform(found, lambda v: F.transform(options, lambda alt: F.replace(v, F.lit(key), alt)))))
+        return F.when(F.contains(lower, F.lit(key)), wide).otherwise(found)
+
+    for key, others in V.VARIANT_TERMS.items():
+        found = T.let(found, partial(fan, key=key, others=others))
 
     def forms(v):
         plain = T.strip_accents(v)
@@ -28,13 +34,15 @@ def combinatorial(name: Column) -> Column:
 
 def substituted(name: Column, rules: list[tuple[str, list[str]]], n: int, seed: int) -> Column:
     """Up to n replacements (order by a hash of the name) by the first rule whose pattern the name has; none otherwise."""
+
+    def changed(pattern, options):
+        order = F.sort_array(F.transform(F.array(*map(F.lit, options)), lambda o: F.struct(F.xxhash64(name, o, F.lit(seed)).alias("h"), o.alias("o"))))
+        new = F.transform(F.slice(order, 1, n), lambda s: F.regexp_replace(name, F.lit(pattern), s["o"]))
+        return F.when(T.is_all_upper(name), F.transform(new, lambda v: F.upper(v))).otherwise(new)
+
     out = F
     for pattern, options in rules:
-        p = "(?iU)" + pattern
-        picked = F.slice(F.transform(F.sort_array(F.transform(F.array(*map(F.lit, options)), lambda o: F.struct(F.xxhash64(name, o, F.lit(seed)).alias("h"), o.alias("o")))), lambda s: s["o"]), 1, n)
-        changed = F.transform(picked, lambda o, p=p: F.regexp_replace(name, F.lit(p), o))
-        changed = F.when(T.is_all_upper(name), F.transform(changed, F.upper)).otherwise(changed)
-        out = out.when(name.rlike(p), changed)
+        out = out.when(name.rlike("(?iU)" + pattern), changed("(?iU)" + pattern, options))
     return out.otherwise(F.array().cast("array<string>"))
 
 
