@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +15,13 @@ def combinatorial(name: Column) -> Column:
     lower = F.lower(name)
     found = F.array(lower)
 
-    def fan(found, key, others):
+    def fan(key, others):
         options = F.array(*map(F.lit, [key, *others]))
-        wide = F.array_distinct(F.flatten(F.transform(found, lambda v: F.transform(options, lambda alt: F.replace(v, F.lit(key), alt)))))
-        return F.when(F.contains(lower, F.lit(key)), wide).otherwise(found)
+        wide = lambda found: F.array_distinct(F.flatten(F.transform(found, lambda v: F.transform(options, lambda alt: F.replace(v, F.lit(key), alt)))))
+        return lambda found: F.when(F.contains(lower, F.lit(key)), wide(found)).otherwise(found)
 
     for key, others in V.VARIANT_TERMS.items():
-        found = T.let(found, partial(fan, key=key, others=others))
+        found = T.let(found, fan(key, others))
 
     def forms(v):
         plain = T.strip_accents(v)

@@ -443,9 +443,9 @@ def _outcomes(spark, d):
     return evaluate.outcomes(q, r)
 
 
-@query(f"WITH {_RES} SELECT * FROM o")
+@query(f"WITH {_RES} SELECT * REPLACE (coalesce(target_rank, 0) AS target_rank, coalesce(top1_score, -1.0) AS top1_score, coalesce(top1_company, '') AS top1_company) FROM o")
 def eval_outcomes(spark, d):
-    return _outcomes(spark, d)
+    return _outcomes(spark, d).fillna(0, ["target_rank"]).fillna(-1.0, ["top1_score"]).fillna("", ["top1_company"])
 
 
 @query(f"""WITH {_RES} SELECT count(*) AS n, round(count(*) FILTER (top1) / CAST(count(*) AS DOUBLE), 6) AS top1, round(count(*) FILTER (in_list) / CAST(count(*) AS DOUBLE), 6) AS top3, {', '.join(f"round(count(*) FILTER (target_rank <= {k}) / CAST(count(*) AS DOUBLE), 6) AS strict_top{k}" for k in (1, 3, 5))},
