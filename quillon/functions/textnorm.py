@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache, reduce
 from itertools import permutations
@@ -47,7 +48,7 @@ def _compositions() -> list[tuple[str, str]]:
 
 def nfc(text: Column) -> Column:
     """Compose Latin letters with their marks.  Texts without combining marks (nearly all) pass untouched."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _compositions()])
+    pairs = F.from_json(F.lit(json.dumps([{"a": a, "b": b} for a, b in _compositions()])), "array<struct<a string, b string>>")  # folded into one literal
     composed = lambda t: F.aggregate(pairs, t, lambda s, p: F.replace(s, p["a"], p["b"]))
     return let(text, lambda t: F.when(t.rlike("[\\u0300-\\u036f]"), composed(t)).otherwise(t))
 
