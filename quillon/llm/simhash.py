@@ -1,10 +1,10 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints within 4 bits differ by at most 2 bits in one of their two 32-bit segments.  Every distinct fingerprint
-is entered, per segment, under each of the 33 values of the radius-1 Hamming ball around it; two segments within
-distance 2 always share such a value.  Rows that meet under a value are verified over all 64 bits.  What comes
-out is a spanning forest of the verified links per table entry, so no link is lost and no group is spelled out
-as pairs.
+A fingerprint is cut into m segments.  Every distinct fingerprint is entered, per segment, under each value of the
+radius-1 Hamming ball around the segment; two segments within distance 2 always share such a value.  So two
+fingerprints that differ in at most 3 m - 1 bits meet under some value, where all 64 bits are verified.  What
+comes out is a spanning forest of the verified links per table entry, so no link is lost and no group is spelled
+out as pairs.  Two segments serve a radius of 4 or 5; four segments a radius of up to 11, with fuller entries.
 """
 
 from __future__ import annotations
@@ -16,34 +16,49 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import materialise
 from .graph import components
 
 RADIUS = 4
+#: Bits of two fingerprints together (128) that may differ at a similarity of 0.8: 128 * acos(2 * 0.8 / 1.8) / pi.
+WIDE = 19
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """64-bit SimHash of the word shingles (repeats count), A-Z lower-cased; as an unsigned integer."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, repeats included, A-Z lower-cased; of all words, if they are fewer."""
     words = (text or "").encode().lower().split()  # bytes.lower() and bytes.split() know ASCII only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        joined = b" ".join(words)
-        ends, at = [], -1
-        for w in words:
-            at += len(w) + 1
-            ends.append(at)
-        digest = xxhash.xxh64_intdigest
-        starts = [0, *[e + 1 for e in ends[:-shingle]]]
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=True)]
-    n = len(hashes)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    joined = b" ".join(words)
+    ends, at = [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    digest = xxhash.xxh64_intdigest
+    starts = [0, *[e + 1 for e in ends[:-shingle]]]
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
     bits = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 16):  # long texts in bounded pieces
-        h = np.array(hashes[k : k + (1 << 16)], ">u8").view(np.uint8).reshape(-1, 8)
+    for k in range(0, len(hashes), 1 << 16):  # long texts in bounded pieces
+        h = hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
         bits += np.unpackbits(h, axis=1).sum(0, dtype=np.int64) if len(h) < 256 else _column_sums(h)
-    return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """64-bit SimHash as an unsigned integer."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other bits of the same shingles, for a second fingerprint (multiply and fold)."""
+    h = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _column_sums(h: np.ndarray) -> np.ndarray:
@@ -64,66 +79,77 @@ def fingerprints(shingle: int):
     return run
 
 
-def ball(segment: Column) -> Column:
-    """The 33 values within one bit of a 32-bit segment (as a long)."""
-    return F.transform(F.sequence(F.lit(-1), F.lit(31)), lambda k: F.when(k < 0, segment).otherwise(segment.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
+def wide_fingerprints(shingle: int):
+    """A pandas UDF text -> struct(fp, fp2): the fingerprint and a second one to verify links with."""
+
+    @F.pandas_udf("fp long, fp2 long")
+    def run(parts: pd.Series) -> pd.DataFrame:
+        both = [(majority(h), majority(mixed(h))) for h in (shingle_hashes(t, shingle) for t in parts)]
+        return pd.DataFrame(np.array(both, np.uint64).reshape(-1, 2).view(np.int64), columns=["fp", "fp2"])
+
+    return run
+
+
+def ball(segment: Column, bits: int) -> Column:
+    """The values within one bit of a segment (as a long)."""
+    return F.transform(F.sequence(F.lit(-1), F.lit(bits - 1)), lambda k: F.when(k < 0, segment).otherwise(segment.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
+
 
+def entries(distinct: DataFrame, segments: int) -> DataFrame:
+    """Table rows (key, fp, fp2): segment number and ball value in the key."""
+    bits = 64 // segments
+    cut = [F.shiftrightunsigned("fp", bits * k).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(segments)]
+    balls = [F.transform(ball(c, bits), _numbered(k, bits)) for k, c in enumerate(cut)]
+    return distinct.select("fp", "fp2", F.explode(F.concat(*balls)).alias("key"))
 
-def entries(distinct: DataFrame) -> DataFrame:
-    """Table rows (key, fp): segment number and ball value in the key."""
-    low = F.col("fp").bitwiseAND(F.lit((1 << 32) - 1))
-    high = F.shiftrightunsigned("fp", 32)
-    keys = F.concat(ball(low), F.transform(ball(high), lambda v: v + F.lit(1 << 32)))
-    return distinct.select("fp", F.explode(keys).alias("key"))
 
+def _numbered(k: int, bits: int):
+    return lambda v: v + F.lit(k << bits)
 
-def spanning(fps: np.ndarray, radius: int, block: int = 2048) -> list[tuple[int, int]]:
-    """A spanning forest of the links (at most ``radius`` differing bits) among distinct fingerprints of one entry.
 
-    Distances are taken in square blocks, so memory stays bounded however many meet."""
-    n = len(fps)
-    if n == 2:
-        return [(0, 1)] if int(fps[0] ^ fps[1]).bit_count() <= radius else []
-    parent = list(range(n))
+def linked(fp: np.ndarray, fp2: np.ndarray, i, others, radius: int, wide: int) -> np.ndarray:
+    """Whether row(s) ``i`` link to ``others``: at most ``radius`` differing bits, and ``wide`` over both fingerprints."""
+    d = np.bitwise_count(fp[i] ^ fp[others])
+    return (d <= radius) & (d.astype(np.int64) + np.bitwise_count(fp2[i] ^ fp2[others]) <= wide)
 
-    def find(i):
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
 
-    out = []
-    for a in range(0, n, block):
-        for b in range(a, n, block):
-            near = np.bitwise_count(fps[a : a + block, None] ^ fps[None, b : b + block]) <= radius
-            for i, j in zip(*np.nonzero(near), strict=True):
-                x, y = find(a + i), find(b + j)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    out.append((a + i, b + j))
+def spanning(fp: np.ndarray, fp2: np.ndarray, radius: int, wide: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the distinct fingerprints of one entry: a row at a time, so memory grows with
+    the entry and not with its pairs, and a row whose partners are all in its class already adds nothing."""
+    n = len(fp)
+    label, out = np.arange(n), []
+    for i in range(n - 1):
+        near = i + 1 + np.flatnonzero(linked(fp, fp2, i, slice(i + 1, n), radius, wide))
+        near = near[label[near] != label[i]]
+        if len(near):
+            _, first = np.unique(label[near], return_index=True)
+            for j in near[first]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
     return out
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, segments: int = 2, wide: int = 128) -> DataFrame:
     """Edges (u, v) between distinct fingerprints whose transitive closure is that of all links."""
-    if radius > RADIUS + 1:
-        raise ValueError("two segments with balls of radius 1 find at most 5 differing bits")
+    if radius > 3 * segments - 1 or 64 % segments:
+        raise ValueError("so many segments don't find all links of this radius")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = entries(distinct).repartition(n, "key").sortWithinPartitions("key", "fp")
+    distinct = distinct if "fp2" in distinct.columns else distinct.withColumn("fp2", F.lit(0).cast("long"))
+    laid = entries(distinct, segments).repartition(n, "key").sortWithinPartitions("key", "fp")
 
     def run(batches):
-        keep_key, keep = None, np.zeros(0, np.uint64)  # the entry that the last batch left open
+        none = np.zeros(0, np.uint64)
+        keep_key, keep, keep2 = None, none, none  # the entry that the last batch left open
 
-        def close(key, fp):
+        def close(key, fp, fp2):
             cut = np.flatnonzero(np.diff(key)) + 1
             first = np.concatenate([[0], cut])
             size = np.diff(np.concatenate([first, [len(key)]]))
-            u, v = [], []
             pair = first[size == 2]  # most entries: at once
-            near = pair[np.bitwise_count(fp[pair] ^ fp[pair + 1]) <= radius]
-            u.append(fp[near])
-            v.append(fp[near + 1])
+            near = pair[linked(fp, fp2, pair, pair + 1, radius, wide)]
+            u, v = [fp[near]], [fp[near + 1]]
             for a, m in zip(first[size > 2], size[size > 2], strict=True):
-                e = np.array(spanning(fp[a : a + m], radius), np.int64).reshape(-1, 2)
+                e = np.array(spanning(fp[a : a + m], fp2[a : a + m], radius, wide), np.int64).reshape(-1, 2)
                 u.append(fp[a + e[:, 0]])
                 v.append(fp[a + e[:, 1]])
             e = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], 1), axis=0)
@@ -131,29 +157,29 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
         for b in batches:
             key = b.column("key").to_numpy()
-            fp = b.column("fp").to_numpy().view(np.uint64)
+            fp, fp2 = b.column("fp").to_numpy().view(np.uint64), b.column("fp2").to_numpy().view(np.uint64)
             if not len(key):
                 continue
             if keep_key is not None:
-                key, fp = np.concatenate([np.full(len(keep), keep_key), key]), np.concatenate([keep, fp])
+                key, fp, fp2 = np.concatenate([np.full(len(keep), keep_key), key]), np.concatenate([keep, fp]), np.concatenate([keep2, fp2])
             last = np.searchsorted(key, key[-1])
-            keep_key, keep = key[-1], fp[last:]
+            keep_key, keep, keep2 = key[-1], fp[last:], fp2[last:]
             if last:
-                yield close(key[:last], fp[:last])
+                yield close(key[:last], fp[:last], fp2[:last])
         if keep_key is not None:
-            yield close(np.full(len(keep), keep_key), keep)
+            yield close(np.full(len(keep), keep_key), keep, keep2)
 
-    return laid.select("key", "fp").mapInArrow(run, "u long, v long").distinct()
+    return laid.select("key", "fp", "fp2").mapInArrow(run, "u long, v long").distinct()
 
 
-def classes(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fp``, ``component_id`` (smallest doc_id reachable over links) for every distinct fingerprint of (doc_id, fp)."""
-    own = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")  # exact copies combine before the shuffle
-    found = components(links(own.select("fp"), radius))
+def classes(marked: DataFrame, radius: int = RADIUS, segments: int = 2, wide: int = 128) -> DataFrame:
+    """``fp``, ``component_id`` (smallest doc_id reachable over links) for every distinct fingerprint of (doc_id, fp[, fp2])."""
+    second = F.min("fp2") if "fp2" in marked.columns else F.lit(0).cast("long")
+    own = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), second.alias("fp2")), "fp")  # exact copies combine before the shuffle
+    found = components(links(own.select("fp", "fp2"), radius, segments, wide))
     near = own.join(found, own.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     near = materialise(near, "roots")
-    joined = near.where("root != fp").select("root", "least").unionByName(near.where("root = fp").select("root", "least"))
-    best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    best = near.groupBy("root").agg(F.min("least").alias("component_id"))
     return near.join(best, "root").select("fp", "component_id")
 
 
@@ -165,14 +191,17 @@ def op8(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return marked.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """One row of each component: that of the smallest doc_id (rows equal in doc_id and fingerprint: any one).
-    Columns are those of ``docs``.  Null ids count as smallest of none: they stay only if no other id is in the class."""
-    wide = materialise(docs.withColumn("__fp", fingerprints(shingle)(F.col("text"))), "wide")
-    marked = wide.select("doc_id", F.col("__fp").alias("fp"))
-    found = classes(marked, radius).withColumnRenamed("fp", "__f")
-    stay = marked.distinct().join(found, F.col("fp") == F.col("__f")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # one fingerprint per class: ids repeated under several near fingerprints leave the smallest
-    stay = stay.groupBy("component_id").agg(F.min("fp").alias("__f")).withColumnRenamed("component_id", "__id")
-    kept = wide.join(stay, (F.col("__fp") == F.col("__f")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 11, segments: int = 4, wide: int = WIDE) -> DataFrame:
+    """One row of each component: that of the smallest doc_id (rows equal in doc_id and fingerprint: any one), with the
+    columns of ``docs``.  Five-word shingles and an estimated similarity of 0.8: of the two fingerprints' 128 bits at most
+    19 differ, of the first one's 64 at most 11.  A null id stays only if no other id is in the class."""
+    wide_docs = materialise(docs.withColumn("__f", wide_fingerprints(shingle)(F.col("text"))), "wide")
+    marked = wide_docs.select("doc_id", F.col("__f.fp").alias("fp"), F.col("__f.fp2").alias("fp2"))
+    found = classes(marked, radius, segments, wide).withColumnRenamed("fp", "__fp")
+    stay = marked.select("doc_id", "fp").distinct().join(found, F.col("fp") == F.col("__fp")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # one fingerprint per class: an id repeated under several near fingerprints leaves the smallest; ids that are all null
+    # name no class, so there each fingerprint stays
+    key = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
+    stay = stay.groupBy(key.alias("__key")).agg(F.min("fp").alias("__fp"), F.min("component_id").alias("__id"))
+    kept = wide_docs.join(stay, (F.col("__f.fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.withColumn("__fp", F.col("__f.fp")).dropDuplicates(["doc_id", "__fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])
