@@ -131,21 +131,28 @@ def read_block(data: bytes, symbols: np.ndarray, table: np.ndarray) -> tuple[int
 def encode_table(docs: DataFrame, path: str, end: int = 1) -> tuple[DataFrame, np.ndarray]:
     """Write the ids of all documents, in ascending order of doc_id, as coded blocks; return the blocks and code lengths.
 
-    Texts are encoded first, so that only ids are moved and sorted (by range, at doc_id).  The driver receives
-    one count per id of the vocabulary and one row count per partition.
+    Texts are encoded first, so that only ids are moved and sorted.  Ranges are cut at quantiles of doc_id, which cost a
+    scan of that column; a range exchange would sample the encoded rows and so encode every text twice.  The
+    driver receives the cuts and one count per id of the vocabulary.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    steps = [(k + 1) / n for k in range(n - 1)]
+    cuts = docs.agg(F.percentile_approx("doc_id", steps, max(10_000, 20 * n)).alias("c")).first()["c"] if n > 1 else None
+    cuts = np.array(sorted(set(cuts or [])), np.int64)  # one per partition at most
+
     def ids_of(batches):
         coder, tail = Words(path), np.array([end], "<u2").tobytes()
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([coder.encode(t) + tail for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+                keys = part.column(0).fill_null(-(2**63)).to_numpy()
+                ids = [coder.encode(t) + tail for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, keys).astype(np.int32)), part.column(0), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
 
-    coded = docs.select("doc_id", "text").mapInArrow(ids_of, "doc_id long, ids binary")
-    coded = coded.repartitionByRange(n, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    coded = docs.select("doc_id", "text").mapInArrow(ids_of, "part int, doc_id long, ids binary")
+    coded = coded.repartitionById(n, "part").sortWithinPartitions("doc_id", "ids").select("doc_id", "ids")
 
     def blocks_of(batches):
         """Gather documents into blocks; ``first`` counts the partition's ids before the block."""

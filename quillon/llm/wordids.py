@@ -8,6 +8,8 @@ special token's string, takes the library's whole path.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import regex
 
@@ -37,19 +39,21 @@ class Words:
         self.pieces: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
 
+    def piece(self, p: str) -> bytes:
+        mapped = p if p.isascii() else "".join([self.letters[c] for c in p.encode()])  # printable ASCII stands for itself
+        ids = self.pieces[p] = array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return ids
+
     def word(self, raw: bytes) -> bytes:
         """Ids of one word as little-endian 16-bit integers."""
         text = raw.decode()
-        if not PLAIN.fullmatch(text):
+        if not (text.isascii() and text.isprintable() or PLAIN.fullmatch(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        out = []
-        for p in PIECES.findall(text.lower()):
-            ids = self.pieces.get(p)
-            if ids is None:
-                mapped = "".join([self.letters[c] for c in p.encode()])
-                ids = self.pieces[p] = np.array([t.id for t in self.model.tokenize(mapped)], "<u2").tobytes()
-            out.append(ids)
-        return b"".join(out)
+        text, known = text.lower(), self.pieces
+        if text.isalpha():  # what the pattern finds here, without running it
+            return known.get(text) or self.piece(text)
+        parts = [text[:-1], text[-1]] if text[:-1].isalpha() else PIECES.findall(text)
+        return b"".join([known.get(p) or self.piece(p) for p in parts])
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text (null: none) as little-endian 16-bit integers."""
