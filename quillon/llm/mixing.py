@@ -7,10 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, words_of
+from .common import let, materialise, words_of
 
 DOMAINS = ("high", "low", "toxic")
-NUMERIC = ("symbols", "upper", "distinct", "log_words", "word_length")
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -28,8 +27,10 @@ def lexicon(docs: DataFrame, labelled: DataFrame, rows: int = 1000, words: int =
     from pyspark.sql import Window
 
     pick = labelled.withColumn("rn", F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("rn") <= rows).drop("rn")
-    have = docs.join(F.broadcast(pick), "doc_id").select("domain", F.array_distinct(words_of(F.lower("text"))).alias("ws"))  # pick: at most rows x domains ids
-    seen = have.select("domain", F.explode("ws").alias("word")).groupBy("word").pivot("domain", list(DOMAINS)).count().fillna(0)
+    # Materialised, as Spark would push the split of the texts below the join, to every document.
+    have = materialise(docs.join(F.broadcast(pick), "doc_id").select("domain", "text"), "labelled")  # pick: at most rows x domains ids
+    seen = have.select("domain", F.explode(F.array_distinct(words_of(F.lower("text")))).alias("word"))
+    seen = materialise(seen.groupBy("word").pivot("domain", list(DOMAINS)).count().fillna(0), "lexicon")
     size = {r["domain"]: r["n"] for r in have.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = {}
     for d in DOMAINS:
@@ -44,19 +45,21 @@ def features(df: DataFrame, text: str, words: dict[str, list[str]]) -> tuple[Dat
     """Append ``_n`` (words) and the classifier's inputs ``_x_*``, as expressions on the row alone."""
     t = F.coalesce(F.col(text), F.lit(""))
     n_chars = F.greatest(F.length(t), F.lit(1))
-    base = df.withColumn("__w", words_of(F.col(text)))
+    base = df.withColumn("__w", words_of(F.lower(F.col(text)))).withColumn("__d", F.array_distinct("__w"))
+    lexicon = sorted({w for d in DOMAINS for w in words.get(d) or ["\0"]})
+    base = base.withColumn("__h", F.array_intersect("__d", F.array(*map(F.lit, lexicon))))
     w = F.col("__w")
     n = F.greatest(F.size(w), F.lit(1))
     x = {
-        "symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>!", ""))) / n_chars,
-        "upper": (F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))) / n_chars,
-        "distinct": F.size(F.array_distinct(w)) / n,
+        "symbols": F.regexp_count(t, F.lit("[#*$%&|<>!]")) / n_chars,
+        "upper": F.regexp_count(t, F.lit("[A-Z]")) / n_chars,
+        "distinct": F.size("__d") / n,
         "log_words": F.log1p(F.size(w).cast("double")),
         "word_length": F.length(t) / n,
     }
     for d in DOMAINS:
-        lex = F.array(*map(F.lit, words.get(d) or ["\0"]))
-        x[f"lex_{d}"] = F.log1p(F.size(F.array_intersect(lex, F.transform(w, F.lower))).cast("double"))
+        own = F.array(*map(F.lit, words.get(d) or ["\0"]))
+        x[f"lex_{d}"] = F.log1p(F.size(F.array_intersect("__h", own)).cast("double"))
     out = base.select(*[F.col(f"`{c}`") for c in df.columns], F.size(w).cast("long").alias("_n"), *[c.cast("double").alias(f"_x_{k}") for k, c in x.items()])
     return out, [f"_x_{k}" for k in x]
 
@@ -68,17 +71,23 @@ def fit(known: DataFrame, names: list[str]) -> dict[str, tuple[float, list[tuple
     return {r["domain"]: (math.log(r["n"] / total), [(r[f"m{i}"], r[f"v{i}"] + 1e-3) for i in range(len(names))]) for r in rows}
 
 
-def posteriors(model: dict, names: list[str]) -> dict[str, Column]:
-    """P(domain | inputs); uniform where no row is labelled, 0 for a domain without labelled rows."""
+def posteriors(model: dict, names: list[str]) -> Column:
+    """P(domain | inputs) as one array in the order of DOMAINS; uniform where no row is labelled, 0 for a domain without
+    labelled rows.  The log scores are tempered by half, as the inputs are not independent."""
     if not model:
-        return {d: F.lit(1.0 / len(DOMAINS)) for d in DOMAINS}
-    score = {}
-    for d, (prior, stats) in model.items():
-        terms = [(F.col(c) - m) * (F.col(c) - m) / (-2 * v) - 0.5 * math.log(v) for c, (m, v) in zip(names, stats, strict=True)]
-        score[d] = sum(terms, F.lit(prior)) / 2  # tempered: the inputs are not independent
-    top = F.greatest(*score.values()) if len(score) > 1 else next(iter(score.values()))
-    weight = {d: F.exp(s - top) for d, s in score.items()}
-    return {d: (weight[d] / sum(weight.values(), F.lit(0.0)) if d in weight else F.lit(0.0)) for d in DOMAINS}
+        return F.array(*[F.lit(1.0 / len(DOMAINS)) for _ in DOMAINS])
+    scores = []
+    for d in DOMAINS:
+        if d not in model:
+            scores.append(F.lit(float("-inf")))
+            continue
+        prior, stats = model[d]
+        # -(x - m)^2 / 2v - log(v) / 2, multiplied out, so that each input occurs once
+        constant = prior - sum(m * m / (2 * v) + 0.5 * math.log(v) for m, v in stats)
+        scores.append(sum((F.col(c) * (m / v - F.col(c) * (0.5 / v)) for c, (m, v) in zip(names, stats, strict=True)), F.lit(constant)) / 2)
+    weights = lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+    total = lambda w: F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
+    return let(let(F.array(*scores), weights), lambda w: let(total(w), lambda z: F.transform(w, lambda x: x / z)))
 
 
 def rate_of(p: dict[str, Column], steps: list[list[float]], low: Column, projected: bool = True) -> Column:
@@ -161,8 +170,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], text: str
     table, names = features(docs.select(*carry, *([text] if text not in carry else [])), text, words)
     table = materialise(table.drop(*([text] if text not in carry else [])), "mix")
     model = fit(table.join(labelled, "doc_id"), names)
-    p = posteriors(model, names)
-    soft = table.select(*carry, F.col("_n").alias("n_tokens"), *[p[d].alias(f"p_{d}") for d in DOMAINS])
+    soft = table.select(*carry, F.col("_n").alias("n_tokens"), posteriors(model, names).alias("_p"))
+    soft = soft.select(*carry, "n_tokens", *[F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)])
     p = {d: F.col(f"p_{d}") for d in DOMAINS}
     low = F.when(p[protect] >= 0.5, 1.0).otherwise(0.0) if protect else F.lit(0.0)
     steps, told = solve(soft, p, F.col("n_tokens"), low, weights, scale, protect)
@@ -173,9 +182,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], text: str
 def resample(docs: DataFrame, told: dict, text: str = "text") -> DataFrame:
     """The rows of ``docs`` as often as their rate says, by the solved steps alone: no join, no shuffle."""
     wide, names = features(docs, text, told["lexicon"])
-    p = posteriors(told["model"], names)
-    wide = wide.select(*[F.col(f"`{c}`") for c in docs.columns], *[p[d].alias(f"__p_{d}") for d in DOMAINS])
-    p = {d: F.col(f"__p_{d}") for d in DOMAINS}
+    wide = wide.select(*[F.col(f"`{c}`") for c in docs.columns], posteriors(told["model"], names).alias("__p"))
+    p = {d: F.col("__p")[i] for i, d in enumerate(DOMAINS)}
     low = F.when(p[told["protect"]] >= 0.5, 1.0).otherwise(0.0) if told["protect"] else F.lit(0.0)
     wide = wide.withColumn("__copies", copies_of(rate_of(p, told["steps"], low), F.col("doc_id"))).where("__copies > 0")
     return wide.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
