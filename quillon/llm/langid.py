@@ -110,9 +110,9 @@ class Model:
                     break
                 ch = cols[c, :m]
                 s = flat[state[:m] * width + ch].astype(np.int64)
+                if c:  # a phrase begins where the last one can't go on, and after a letter that the reference lacks
+                    count[:m] += (s == 0) | (state[:m] == 0)
                 miss = np.flatnonzero(s == 0)
-                if c:
-                    count[miss] += 1
                 s[miss] = flat[ch[miss]]
                 state[:m] = s
             out[:, k] = np.bincount(own, count * self.bits[k], len(texts))
