@@ -16,7 +16,7 @@ WINDOW = 5
 
 def window_hashes(words: Column) -> Column:
     """One 64-bit hash per run of five words; null for texts with fewer."""
-    return F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
+    return F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])))
 
 
 def repeated_words(hashes: Column) -> Column:
