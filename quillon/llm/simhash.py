@@ -5,6 +5,8 @@ radius-1 Hamming ball around the segment; two segments within distance 2 always
 fingerprints that differ in at most 3 m - 1 bits meet under some value, where all 64 bits are verified.  What
 comes out is a spanning forest of the verified links per table entry, so no link is lost and no group is spelled
 out as pairs.  Two segments serve a radius of 4 or 5; four segments a radius of up to 11, with fuller entries.
+
+The pipeline's stage decides on exact similarities of shingle sets instead; minima of the sets in bands find its candidates.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from .common import materialise
 from .graph import components
 
 RADIUS = 4
-#: Bits of two fingerprints together (128) that may differ at a similarity of 0.8: 128 * acos(2 * 0.8 / 1.8) / pi.
-WIDE = 19
+#: Minima of the shingle set in a band, and bands: a pair at a Jaccard similarity of 0.8 shares no band with chance (1 - 0.8^4)^24 = 3e-6.
+ROWS, BANDS = 4, 24
+#: Of their 96 minima, cut to a byte, a pair at 0.8 agrees in about 77, and in fewer than so many with a chance of some 1e-6.
+AGREE = 57
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -55,12 +59,6 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def mixed(hashes: np.ndarray) -> np.ndarray:
-    """Other bits of the same shingles, for a second fingerprint (multiply and fold)."""
-    h = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0x9E3779B97F4A7C15)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
 def _column_sums(h: np.ndarray) -> np.ndarray:
     """Sums of the 64 bit columns by counting byte values, which beats unpacking for many rows."""
     out = np.empty(64, np.int64)
@@ -79,13 +77,51 @@ def fingerprints(shingle: int):
     return run
 
 
-def wide_fingerprints(shingle: int):
-    """A pandas UDF text -> struct(fp, fp2): the fingerprint and a second one to verify links with."""
+def band_keys(shingles: np.ndarray) -> tuple[list[int], bytes]:
+    """Keys of the bands of a set of hashes (signed), sets that share a key share ROWS minima under random maps; and a byte of each minimum."""
+    if not len(shingles):
+        return [], b""
+    r = np.random.default_rng(8)
+    factor = r.integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    shift = r.integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64)
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max)
+    for k in range(0, len(shingles), 2048):  # long texts in bounded pieces
+        h = shingles[None, k : k + 2048] * factor + shift
+        least = np.minimum(least, (h ^ (h >> np.uint64(32))).min(1))
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist(), (least & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def shingle_sets(shingle: int):
+    """A pandas UDF text -> struct(node, bands, minima): the hash of its set of shingles, and what band_keys() gives."""
 
-    @F.pandas_udf("fp long, fp2 long")
+    @F.pandas_udf("node long, bands array<long>, minima binary")
     def run(parts: pd.Series) -> pd.DataFrame:
-        both = [(majority(h), majority(mixed(h))) for h in (shingle_hashes(t, shingle) for t in parts)]
-        return pd.DataFrame(np.array(both, np.uint64).reshape(-1, 2).view(np.int64), columns=["fp", "fp2"])
+        sets = [np.unique(shingle_hashes(t, shingle)) for t in parts]
+        nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
+        keys = [band_keys(s) for s in sets]
+        return pd.DataFrame({"node": nodes, "bands": [k for k, _ in keys], "minima": [m for _, m in keys]})
+
+    return run
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets given as sorted distinct hashes; two empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def similar(shingle: int, least: float):
+    """A pandas UDF of two texts: whether their shingle sets are similar by ``least`` at least, counted exactly."""
+
+    @F.pandas_udf("boolean")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        out, last, own = [], None, None
+        for a, b in zip(left, right, strict=True):
+            if own is None or a != last:
+                last, own = a, np.unique(shingle_hashes(a, shingle))
+            out.append(jaccard(own, np.unique(shingle_hashes(b, shingle))) >= least)
+        return pd.Series(out, dtype=bool)
 
     return run
 
@@ -191,17 +227,91 @@ def op8(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return marked.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 11, segments: int = 4, wide: int = WIDE) -> DataFrame:
-    """One row of each component: that of the smallest doc_id (rows equal in doc_id and fingerprint: any one), with the
-    columns of ``docs``.  Five-word shingles and an estimated similarity of 0.8: of the two fingerprints' 128 bits at most
-    19 differ, of the first one's 64 at most 11.  A null id stays only if no other id is in the class."""
-    wide_docs = materialise(docs.withColumn("__f", wide_fingerprints(shingle)(F.col("text"))), "wide")
-    marked = wide_docs.select("doc_id", F.col("__f.fp").alias("fp"), F.col("__f.fp2").alias("fp2"))
-    found = classes(marked, radius, segments, wide).withColumnRenamed("fp", "__fp")
-    stay = marked.select("doc_id", "fp").distinct().join(found, F.col("fp") == F.col("__fp")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # one fingerprint per class: an id repeated under several near fingerprints leaves the smallest; ids that are all null
-    # name no class, so there each fingerprint stays
-    key = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp").cast("string")))
-    stay = stay.groupBy(key.alias("__key")).agg(F.min("fp").alias("__fp"), F.min("component_id").alias("__id"))
-    kept = wide_docs.join(stay, (F.col("__f.fp") == F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.withColumn("__fp", F.col("__f.fp")).dropDuplicates(["doc_id", "__fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+def verified(pairs: DataFrame, laid: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar by ``least`` at least; texts are read for nodes in pairs only."""
+    pairs = materialise(pairs, "pairs")
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    texts = materialise(laid.join(nodes, "node", "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
+    left, right = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
+    return materialise(pairs.join(left, "u").join(right, "v").where(similar(shingle, least)("a", "b")).select("u", "v"), "links")
+
+
+def meeting(buckets: DataFrame, leaders: int | None) -> DataFrame:
+    """Pairs (u, v) of nodes that share a key: of (key, node), each with the key's ``leaders`` smallest nodes; or without
+    leaders, of (key, node, comp, minima), all that differ in comp and agree in AGREE minima."""
+    n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        held, count, u, v = None, 0, [], []
+        node, comp, minima = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, ROWS * BANDS), np.uint8)
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            u.clear()
+            v.clear()
+            return out
+
+        for b in batches:
+            rows = b.to_pydict()
+            for i, (key, x) in enumerate(zip(rows["key"], rows["node"], strict=True)):
+                if key != held:
+                    held, count = key, 0
+                near = node[:count]
+                if leaders is None:
+                    own = np.frombuffer(rows["minima"][i], np.uint8)
+                    apart = np.flatnonzero(comp[:count] != rows["comp"][i])
+                    near = near[apart[(minima[apart] == own).sum(1) >= AGREE]]
+                u.extend(near.tolist())
+                v.extend([x] * len(near))
+                if leaders is None or count < leaders:
+                    if count == len(node):
+                        more = max(64, count)
+                        node, comp = np.append(node, np.zeros(more, np.int64)), np.append(comp, np.zeros(more, np.int64))
+                        minima = np.concatenate([minima, np.zeros((more, ROWS * BANDS), np.uint8)])
+                    node[count] = x
+                    if leaders is None:
+                        comp[count], minima[count] = rows["comp"][i], own
+                    count += 1
+                if len(u) > 100_000:
+                    yield flush()
+        yield flush()
+
+    return buckets.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long").distinct()
+
+
+def set_classes(laid: DataFrame, shingle: int, least: float, leaders: int = 8) -> DataFrame:
+    """``node``, ``root`` for the nodes of (node, bands, minima, text) that are linked to another.  Candidates share a band key.
+    First every node is compared with its bucket's ``leaders`` smallest, so that near copies of each other meet in one
+    component after as many comparisons as rows; then all pairs of a bucket that are in different components still."""
+    buckets = laid.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
+    buckets = materialise(buckets, "buckets")
+    tried = materialise(meeting(buckets.select("key", "node"), leaders), "tried")
+    links = verified(tried, laid, shingle, least)
+    found = materialise(components(links), "found")
+    met = tried.select(F.col("u").alias("node")).union(tried.select("v")).distinct()
+    told = buckets.join(met, "node", "left_semi").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    told = materialise(told, "told")
+    split = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.expr(f"lo != hi AND n > {leaders}"))
+    minima = laid.join(met, "node", "left_semi").select("node", "minima").dropDuplicates(["node"])
+    more = meeting(told.join(split.select("key"), "key").join(minima, "node"), None).join(tried, ["u", "v"], "left_anti")
+    return components(links.unionByName(verified(more, laid, shingle, least)))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each component: that of the smallest doc_id (rows equal in doc_id and shingles: any one), with the
+    columns of ``docs``.  A link is an exact Jaccard similarity of ``least`` or more of the sets of five-word shingles.
+    A null id stays only if no other id is in the class."""
+    wide = materialise(docs.withColumn("__f", shingle_sets(shingle)(F.col("text"))), "wide")
+    laid = wide.select(F.col("__f.node").alias("node"), F.col("__f.bands").alias("bands"), F.col("__f.minima").alias("minima"), "text")
+    found = set_classes(laid, shingle, least)
+    marked = wide.select("doc_id", F.col("__f.node").alias("node"))
+    own = marked.groupBy("node").agg(F.min("doc_id").alias("least"))  # exact copies combine before the shuffle
+    near = materialise(own.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
+    best = near.groupBy("root").agg(F.min("least").alias("component_id"))
+    # one node per class: an id repeated under several near texts leaves the smallest; ids that are all null
+    # name no class, so there each node stays
+    stay = marked.distinct().join(near.join(best, "root").select("node", "component_id"), "node").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    key = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("node"), F.col("node").cast("string")))
+    stay = stay.groupBy(key.alias("__key")).agg(F.min("node").alias("__node"), F.min("component_id").alias("__id"))
+    kept = wide.join(stay, (F.col("__f.node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.withColumn("__n", F.col("__f.node")).dropDuplicates(["doc_id", "__n"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -127,6 +127,23 @@ def test_simhash_rows(spark, odd, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_one_of_each_group_by_exact_similarity(spark):
+    texts = []
+    for k in range(40):  # 196 shingles; the second text has 157 (0.801) or 138 (0.704) of them
+        words = [f"w{k}x{i}" for i in range(200)]
+        texts += [" ".join(words), " ".join(words[: 161 if k % 2 else 142])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert kept == {i for i in range(80) if i % 4 != 3}
+
+
+def test_groups_joined_through_any_pair(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[s : s + 200]) for s in range(0, 60, 6)]  # neighbours at 0.94, the ends at 0.57
+    docs = spark.createDataFrame(list(enumerate([*texts, "a b c", "A  b c", "", None])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 10, 12]
+
+
 def test_links_lose_nothing(spark):
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 40, dtype=np.uint64)
