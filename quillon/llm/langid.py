@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -160,11 +162,11 @@ def fit(docs: DataFrame, train: Column, size: int = 16_000, rows: int = 64) -> M
 
 def predictor(spark, model: Model):
     """A pandas UDF text -> struct(lang, score)."""
-    shared = spark.sparkContext.broadcast(vars(model))
+    shared, key = spark.sparkContext.broadcast(vars(model)), uuid.uuid4().hex
 
     @F.pandas_udf("lang string, score double")
     def predict(parts: pd.Series) -> pd.DataFrame:
-        own = _once(shared)
+        own = _once(shared, key)
         langs, scores = own[0].predict(parts.tolist(), own[1])
         return pd.DataFrame({"lang": langs, "score": scores})
 
@@ -174,13 +176,15 @@ def predictor(spark, model: Model):
 _cache: dict = {}
 
 
-def _once(shared) -> tuple[Model, np.ndarray]:
-    """The model, rebuilt from the broadcast plain arrays, and its symbol table: once per task."""
-    if "model" not in _cache:
+def _once(shared, key: str) -> tuple[Model, np.ndarray]:
+    """The model, rebuilt from the broadcast plain arrays, and its symbol table: once per Python worker and broadcast.
+    Workers outlive a query, so the cache holds the model of one ``key`` and forgets it at the next."""
+    if key not in _cache:
+        _cache.clear()
         model = Model.__new__(Model)
         vars(model).update(shared.value)
-        _cache["model"] = (model, model.symbols())
-    return _cache["model"]
+        _cache[key] = (model, model.symbols())
+    return _cache[key]
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -188,11 +192,11 @@ def identify(docs: DataFrame) -> DataFrame:
     without labelled rows yields ``und`` throughout.  Extra columns are never read; repeated rows agree."""
     held = in_fold("doc_id", 4, 2)
     model = fit(docs, ~held)
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    shared, key = docs.sparkSession.sparkContext.broadcast(vars(model)), uuid.uuid4().hex
 
     def run(batches):
         for b in batches:
-            own, symbol = _once(shared)
+            own, symbol = _once(shared, key)
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 langs, scores = own.predict(part.column("text").to_pylist(), symbol)

@@ -71,6 +71,16 @@ def test_langid_odd(spark, odd, none):
     assert langid.keep_known(none).count() == 0
 
 
+def test_langid_models_of_one_session(spark):
+    # the first call leaves its model in Python workers that the second one uses again
+    for names in (("aa", "bb"), ("cc", "dd")):
+        rows = [(i, ("lorem ipsum dolor sit amet " if i % 2 else "the cat sat on a mat ") * 5, names[i % 2]) for i in range(40)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+        assert {(r.doc_id, r.lang_pred) for r in langid.identify(docs).collect()} == {(i, names[i % 2]) for i in range(40)}
+        kept = langid.keep_known(docs.where(f"lang = '{names[0]}'"))
+        assert kept.count() == 20
+
+
 def test_base_scores(spark, odd):
     rows = odd.collect()
     count = Counter()
