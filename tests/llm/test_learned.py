@@ -96,6 +96,16 @@ def test_base_scores(spark, odd):
         assert abs(x.base_score - sum(np.log10((count[w] + 1) / (n + v + 1)) for w in words)) < 1e-6 * len(words)
 
 
+def test_end_token_beyond_the_broadcast(spark, odd, monkeypatch):
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    want = {(r.doc_id, r.n_tokens): (r.n_known, r.base_score) for r in lm.op9(odd, path).collect()}
+    # nothing is broadcast: every word, the end token too, is beyond the bound
+    monkeypatch.setattr(lm, "most_frequent", lambda counts: {})
+    for r in lm.op9(odd, path).collect():
+        n_known, base = want[r.doc_id, r.n_tokens]
+        assert r.n_known == n_known and abs(r.base_score - base) < 1e-6
+
+
 def test_rare_words_are_joined(spark, odd):
     counts = spark.createDataFrame([(bytes([65 + i]), 2**i) for i in range(20)], "word binary, c long")
     some = lm.most_frequent(counts, 5)
