@@ -96,6 +96,21 @@ def test_base_scores(spark, odd):
         assert abs(x.base_score - sum(np.log10((count[w] + 1) / (n + v + 1)) for w in words)) < 1e-6 * len(words)
 
 
+def test_every_training_document_teaches(spark):
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    rows = [(i, "one two three four five six seven eight " * 4) for i in range(400)] + [(400, "alpha beta " * 10_000)]
+    train = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    coder = lm.Subwords(path)
+    classes = lm.Classes(lm.id_counts(lm.word_counts(train), path), coder.end)
+    model = lm.Attention(classes.n, classes.unigram)
+    texts = [np.append(np.frombuffer(coder.ids(lm.tokens(t)), "<u2"), np.uint16(coder.end)).astype(np.int64) for _, t in rows]
+    x, y, live = lm.blocks([classes.of[t] for t in texts], classes.n, classes.end)
+    before = lm.Attention.score(model.tables(), x, y, live).sum()
+    assert lm.whole_pass(train, model, classes, path) == sum(map(len, texts))  # neither documents nor tails are left out
+    after = lm.Attention.score(model.tables(), x, y, live).sum()
+    assert after > before, (before, after)
+
+
 def test_end_token_beyond_the_broadcast(spark, odd, monkeypatch):
     path = tokenizer("byte_bpe_50k.tiktoken")
     want = {(r.doc_id, r.n_tokens): (r.n_known, r.base_score) for r in lm.op9(odd, path).collect()}
