@@ -87,3 +87,12 @@ def test_rrf_ranks_missing_documents(spark):
     s = spark.createDataFrame([(0, 3, 0.5)], "query_id long, doc_id long, score double")
     got = {r.doc_id: r.score for r in fusion.rrf([s], docs, q).collect()}
     assert got == {3: round(1 / 61, 9), 0: round(1 / 62, 9), 1: round(1 / 63, 9), 2: round(1 / 64, 9)}
+
+
+def test_fuzzy_scores_names_without_a_common_token(spark):
+    from quillon.operators import fuzzy
+
+    names = spark.createDataFrame([(1, "Vinamilk"), (2, "Hòa Phát"), (3, "Xyz")], "doc_id long, name string")
+    asked = spark.createDataFrame([(1, "vinamlik"), (2, "hoa phat")], "query_id long, query_text string")
+    got = {r.query_id: (r.doc_id, r.score) for r in fuzzy.match(asked, names, 1).collect()}
+    assert got == {1: (1, 0.88), 2: (2, 1.0)}
