@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -12,18 +15,24 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
 
-_local_root: str | None = None
+
+_own_root: str | None = None
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    global _local_root
+    """The shared folder that the session names in ``spark.checkpoint.dir``.  Where it is unset, a session whose executor is
+    the driver's own process (a local master, as in tests) gets a temporary folder; any other is refused, as a
+    temporary folder would be another disk on every executor."""
+    global _own_root
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="quillon-work-")
-    return _local_root
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if _own_root is None:
+        _own_root = tempfile.mkdtemp(prefix="quillon-work-")
+        atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
+    return _own_root
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +55,19 @@ def release(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores before it as it takes to differ from every column of ``frames``."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """Every column of ``df``, whatever its name holds."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and bind it in ``body`` (a lambda over a one-element array)."""
     return F.transform(F.array(value), body)[0]
