@@ -7,9 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, words_of
+from .common import let, materialise, release, words_of
 
 DOMAINS = ("high", "low", "toxic")
+#: Steps of the posterior grid per domain, of which documents in one cell share a rate.
+GRID = 128
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -41,37 +43,33 @@ def lexicon(docs: DataFrame, labelled: DataFrame, rows: int = 1000, words: int =
     return out
 
 
-def features(df: DataFrame, text: str, words: dict[str, list[str]]) -> tuple[DataFrame, list[str]]:
-    """Append ``_n`` (words) and the classifier's inputs ``_x_*``, as expressions on the row alone."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    n_chars = F.greatest(F.length(t), F.lit(1))
-    base = df.withColumn("__w", words_of(F.lower(F.col(text)))).withColumn("__d", F.array_distinct("__w"))
-    lexicon = sorted({w for d in DOMAINS for w in words.get(d) or ["\0"]})
-    base = base.withColumn("__h", F.array_intersect("__d", F.array(*map(F.lit, lexicon))))
-    w = F.col("__w")
-    n = F.greatest(F.size(w), F.lit(1))
-    x = {
-        "symbols": F.regexp_count(t, F.lit("[#*$%&|<>!]")) / n_chars,
-        "upper": F.regexp_count(t, F.lit("[A-Z]")) / n_chars,
-        "distinct": F.size("__d") / n,
-        "log_words": F.log1p(F.size(w).cast("double")),
-        "word_length": F.length(t) / n,
-    }
-    for d in DOMAINS:
-        own = F.array(*map(F.lit, words.get(d) or ["\0"]))
-        x[f"lex_{d}"] = F.log1p(F.size(F.array_intersect("__h", own)).cast("double"))
-    out = base.select(*[F.col(f"`{c}`") for c in df.columns], F.size(w).cast("long").alias("_n"), *[c.cast("double").alias(f"_x_{k}") for k, c in x.items()])
-    return out, [f"_x_{k}" for k in x]
+INPUTS = ("symbols", "upper", "distinct", "log_words", "word_length", *(f"lex_{d}" for d in DOMAINS))
+
+
+def features(text: Column, words: dict[str, list[str]]) -> Column:
+    """A struct of ``n`` (words) and the classifier's inputs ``x`` (in the order of INPUTS), from the row alone.  Text, words
+    and distinct words are bound inside the expression, so each is computed once."""
+    every = F.array(*map(F.lit, sorted({w for d in DOMAINS for w in words.get(d) or ["\0"]})))
+
+    def body(t, w, seen):
+        n_chars, n = F.greatest(F.length(t), F.lit(1)), F.greatest(F.size(w), F.lit(1))
+        x = [F.regexp_count(t, F.lit("[#*$%&|<>!]")) / n_chars, F.regexp_count(t, F.lit("[A-Z]")) / n_chars, F.size(seen) / n, F.log1p(F.size(w).cast("double")), F.length(t) / n]
+        own = lambda hit, d: F.log1p(F.size(F.array_intersect(hit, F.array(*map(F.lit, words.get(d) or ["\0"])))).cast("double"))
+        lex = let(F.array_intersect(seen, every), lambda hit: F.array(*[own(hit, d) for d in DOMAINS]))
+        return F.struct(F.size(w).cast("long").alias("n"), F.concat(F.array(*[v.cast("double") for v in x]), lex).alias("x"))
 
+    return let(F.coalesce(text, F.lit("")), lambda t: let(words_of(F.lower(t)), lambda w: let(F.array_distinct(w), lambda seen: body(t, w, seen))))
 
-def fit(known: DataFrame, names: list[str]) -> dict[str, tuple[float, list[tuple[float, float]]]]:
-    """Log prior, and mean and variance of every input, per domain: one aggregation over the labelled rows."""
-    rows = known.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("m", F.avg), ("v", F.var_pop))]).collect()
+
+def fit(known: DataFrame) -> dict[str, tuple[float, list[tuple[float, float]]]]:
+    """Log prior, and mean and variance of every input, per domain: one aggregation over all labelled rows (domain, x)."""
+    stats = [f(F.col("x")[i]).alias(f"{k}{i}") for i in range(len(INPUTS)) for k, f in (("m", F.avg), ("v", F.var_pop))]
+    rows = known.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *stats).collect()
     total = sum(r["n"] for r in rows)
-    return {r["domain"]: (math.log(r["n"] / total), [(r[f"m{i}"], r[f"v{i}"] + 1e-3) for i in range(len(names))]) for r in rows}
+    return {r["domain"]: (math.log(r["n"] / total), [(r[f"m{i}"], r[f"v{i}"] + 1e-3) for i in range(len(INPUTS))]) for r in rows}
 
 
-def posteriors(model: dict, names: list[str]) -> Column:
+def posteriors(model: dict, x: Column) -> Column:
     """P(domain | inputs) as one array in the order of DOMAINS; uniform where no row is labelled, 0 for a domain without
     labelled rows.  The log scores are tempered by half, as the inputs are not independent."""
     if not model:
@@ -84,106 +82,136 @@ def posteriors(model: dict, names: list[str]) -> Column:
         prior, stats = model[d]
         # -(x - m)^2 / 2v - log(v) / 2, multiplied out, so that each input occurs once
         constant = prior - sum(m * m / (2 * v) + 0.5 * math.log(v) for m, v in stats)
-        scores.append(sum((F.col(c) * (m / v - F.col(c) * (0.5 / v)) for c, (m, v) in zip(names, stats, strict=True)), F.lit(constant)) / 2)
+        scores.append(sum((x[i] * (m / v - x[i] * (0.5 / v)) for i, (m, v) in enumerate(stats)), F.lit(constant)) / 2)
     weights = lambda s: let(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
     total = lambda w: F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
     return let(let(F.array(*scores), weights), lambda w: let(total(w), lambda z: F.transform(w, lambda x: x / z)))
 
 
-def rate_of(p: dict[str, Column], steps: list[list[float]], low: Column, projected: bool = True) -> Column:
-    """The rate after the given gradient steps from 1, each projected onto [low, inf) (the last one: if asked)."""
-    r = F.lit(1.0)
-    for k, e in enumerate(steps):
-        r = r - sum((p[d] * F.lit(float(v)) for d, v in zip(DOMAINS, e, strict=True)), F.lit(0.0))
-        r = F.greatest(low, r) if projected or k < len(steps) - 1 else r
-    return r
+def cell(p: Column, low: Column) -> Column:
+    """The grid cell of a posterior (K - 1 shares in steps of 1 / GRID; the last one follows) and the rate's lower bound."""
+    return F.concat(F.transform(F.slice(p, 1, len(DOMAINS) - 1), lambda v: F.floor(v * GRID).cast("int")), F.array(low.cast("int")))
+
+
+def cells_of(soft: DataFrame) -> DataFrame:
+    """Rows (cell, p, n, low) that stand for all documents of a cell: their tokens, and the token-weighted mean of their
+    posteriors, so that n * p is exactly the sum of their expected tokens.  The grid bounds their number, not the corpus."""
+    n = F.col("n").cast("double")
+    sums = soft.groupBy("cell").agg(F.sum(n).alias("n"), *[F.sum(n * F.col("p")[i]).alias(f"a{i}") for i in range(len(DOMAINS))], *[F.avg(F.col("p")[i]).alias(f"m{i}") for i in range(len(DOMAINS))])
+    p = F.array(*[F.when(F.col("n") > 0, F.col(f"a{i}") / F.col("n")).otherwise(F.col(f"m{i}")) for i in range(len(DOMAINS))])
+    return sums.select("cell", p.alias("p"), "n", F.element_at("cell", -1).cast("double").alias("low"))
 
 
-def solve(table: DataFrame, p: dict[str, Column], n: Column, low: Column, weights: dict[str, float], scale: float | None, protect: str | None, rounds: int = 40, tol: float = 1e-6) -> tuple[list[list[float]], dict]:
-    """Projected-gradient least squares for nonnegative rates r: min sum_k (sum_i r_i n_i p_ik - target_k)^2.
+def replay(rate: Column, steps: list[list[float]], p: Column, low: Column) -> Column:
+    """A cell's rate after steps g: rate' = max(low, rate - p . g).  Steps are one array literal, so every round runs the
+    same plan and the same compiled code."""
+    all_steps = F.array(*[F.array(*[F.lit(float(v)) for v in g]) for g in steps]) if steps else F.array().cast("array<array<double>>")
+    return F.aggregate(all_steps, rate, lambda r, g: F.greatest(low, r - sum((p[i] * g[i] for i in range(len(DOMAINS))), F.lit(0.0))))
 
-    A step only needs the K expected totals and the K x K matrix of the rows that can still move, so each
-    round is one aggregation and the driver holds the list of steps, never the rates.  The gradient is scaled
-    by that matrix's inverse; where that does not shrink the residual, by its trace instead.
+
+def solve(cells: DataFrame, weights: dict[str, float], scale: float | None = None, protect: str | None = None, rounds: int = 150, keep: int = 12, tol: float = 1e-6) -> tuple[DataFrame, dict]:
+    """Distributed projected-gradient least squares for nonnegative rates r: min sum_k (sum_i n_i p_ik r_i - target_k)^2, r >= low.
+
+    The gradient of r_i is n_i p_i . g with g the residual per domain.  In the variables sqrt(n_i) r_i, in which large
+    documents don't dwarf small ones, a step is r_i - size * p_i . g, and the projection still is max(low, .).  Sizes are spectral
+    (Barzilai-Borwein: the last move's square over that of the change of totals); one that doesn't bring the residual
+    under the largest of the last ten is cut by four, down to 1 / L, with L the largest eigenvalue of
+    H = sum_i n_i p_i p_i', where descent is certain.  A round is one aggregation over ``cells``; after ``keep`` steps the
+    rates are written, so that no plan grows.  It ends when the residual is under ``tol`` of the goal, or a step of at least
+    1 / L moves under ``tol`` of the tokens (``told["converged"]``), else after ``rounds``.
+
+    ``scale``: wanted total over the present total (None: as much as keeps the ``protect`` domain at its present size).
+    Returns (cell, rate) and what is told of the solution.  Targets that no rates reach get the nearest totals.
     """
     import numpy as np
 
-    K = len(DOMAINS)
-    P = [p[d] for d in DOMAINS]
-
-    def totals(steps):
-        raw = rate_of(p, steps, low, projected=False)
-        rows = table.select(*[c.alias(f"p{i}") for i, c in enumerate(P)], n.cast("double").alias("n"), raw.alias("raw"), low.alias("lo"))
-        rows = rows.withColumn("r", F.greatest("lo", "raw"))
-        free = F.when(F.col("raw") >= F.col("lo"), F.col("n")).otherwise(0.0)  # rows that the last step did not push against the bound
-        got = rows.agg(
-            *[F.sum(F.col("n") * F.col(f"p{i}") * F.col("r")).alias(f"t{i}") for i in range(K)], *[F.sum(F.col("n") * F.col(f"p{i}")).alias(f"s{i}") for i in range(K)],
-            *[F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"h{i}_{j}") for i in range(K) for j in range(i, K)],
-        ).first()
-        z = lambda k: float(got[k] or 0)
-        H = np.array([[z(f"h{min(i, j)}_{max(i, j)}") for j in range(K)] for i in range(K)])
-        return np.array([z(f"t{i}") for i in range(K)]), np.array([z(f"s{i}") for i in range(K)]), H
-
-    got, start, H = totals([])
+    K = range(len(DOMAINS))
+    now = materialise(cells.withColumn("rate", F.lit(1.0)), "cells")
+    n, p, low = F.col("n"), F.col("p"), F.col("low")
+    first = now.agg(*[F.sum(n * p[i]).alias(f"t{i}") for i in K], *[F.sum(n * p[i] * p[j]).alias(f"h{i}{j}") for i in K for j in K]).first()
+    got = start = np.array([float(first[f"t{i}"] or 0) for i in K])
     total = float(start.sum())
+    least = 1 / max(float(np.linalg.eigvalsh(np.array([[float(first[f"h{i}{j}"] or 0) for j in K] for i in K])).max()), 1e-12)
     w = np.array([weights.get(d, 0.0) for d in DOMAINS]) / sum(weights.values())
     if scale is None:
         k = DOMAINS.index(protect) if protect else 0
         scale = max(1.0, start[k] / (w[k] * total)) if total and protect and w[k] else 1.0
     goal = w * total * scale
     steps: list[list[float]] = []
-    size = lambda t: float(np.abs(t - goal).sum())
-    plain = False
-    for _ in range(rounds):
-        if not total or size(got) <= tol * goal.sum():
-            break
-        M = np.eye(K) / max(np.trace(H), 1e-9) if plain else np.linalg.inv(H + np.eye(K) * (1e-6 * np.trace(H) + 1e-9))
-        step = (M @ (got - goal)).tolist()
-        new, _, newH = totals([*steps, step])
-        if size(new) < size(got) * (1 - 1e-4):
-            steps, got, H, plain = [*steps, step], new, newH, False
-        elif plain:
-            break
-        else:
-            plain = True
-    return steps, {"goal": dict(zip(DOMAINS, goal.tolist(), strict=True)), "got": dict(zip(DOMAINS, got.tolist(), strict=True)), "start": dict(zip(DOMAINS, start.tolist(), strict=True))}
+    left = lambda t: float(((t - goal) ** 2).sum())
+
+    def look(step):
+        """Totals after the kept steps and this one, and by how much it moves the rates: token-weighted square and sum."""
+        moved = now.select("n", "p", "low", replay(F.col("rate"), steps, p, low).alias("r")).select("n", "p", "r", replay(F.col("r"), [step], p, low).alias("s"))
+        row = moved.agg(*[F.sum(n * p[i] * F.col("s")).alias(f"t{i}") for i in K], F.sum(n * (F.col("s") - F.col("r")) ** 2).alias("q"), F.sum(n * F.abs(F.col("s") - F.col("r"))).alias("d")).first()
+        return np.array([float(row[f"t{i}"] or 0) for i in K]), float(row["q"] or 0), float(row["d"] or 0) / max(total, 1.0)
+
+    size, past, used, moved, done = least, [left(got)], 0, 0.0, not total
+    while not done and used < rounds:
+        step = (size * (got - goal)).tolist()
+        new, square, moved = look(step)
+        used += 1
+        if left(new) > max(past[-10:]) and size > least:
+            size = max(least, size / 4)
+            continue
+        change = float(((new - got) ** 2).sum())
+        steps, got = [*steps, step], new
+        past.append(left(got))
+        done = moved <= tol or math.sqrt(past[-1]) <= tol * float(goal.sum())
+        size = max(least, square / change) if change > 0 else least
+        if len(steps) == keep and not done:
+            old, now = now, materialise(now.withColumn("rate", replay(F.col("rate"), steps, p, low)), "cells")
+            release(old)
+            steps = []
+    rates = materialise(now.select("cell", replay(F.col("rate"), steps, p, low).alias("rate")), "rates")
+    release(now)
+    by = lambda v: dict(zip(DOMAINS, map(float, v), strict=True))
+    return rates, {"goal": by(goal), "got": by(got), "start": by(start), "rounds": used, "converged": bool(done), "moved": moved}
 
 
 def copies_of(rate: Column, key: Column) -> Column:
-    """Whole copies with the rate as expectation: the fraction falls by a hash of the row, the same at every run."""
+    """Whole copies with the rate as expectation: the fraction falls by a hash of the row's key, the same at every run."""
     u = F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], text: str = "text", scale: float | None = None, protect: str | None = None, carry: list[str] | None = None) -> tuple[DataFrame, dict]:
-    """Per row of ``docs``: carried columns, ``n_tokens``, ``p_<domain>``, ``rate`` and ``copies``.
+def solved(docs: DataFrame, labels: DataFrame, weights: dict[str, float], text: str, key: str, scale: float | None, protect: str | None, carry: list[str]) -> tuple[DataFrame, dict]:
+    """(row, n, p, rate, copies) for every row of ``docs``, its ``carry`` columns packed in ``row``."""
+    labelled = domain_of(labels)
+    words = lexicon(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), labelled)
+    whole = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    row = F.struct(*[whole(c).alias(c) for c in carry])
+    table = materialise(docs.select(row.alias("row"), whole(key).alias("key"), features(whole(text), words).alias("f")), "mix")
+    model = fit(table.select(F.col("key").alias("doc_id"), F.col("f.x").alias("x")).join(labelled, "doc_id"))
+    soft = table.select("row", "key", F.col("f.n").alias("n"), posteriors(model, F.col("f.x")).alias("p"))
+    low = F.when(F.col("p")[DOMAINS.index(protect)] >= 0.5, 1).otherwise(0) if protect else F.lit(0)
+    soft = soft.withColumn("cell", cell(F.col("p"), low))
+    rates, told = solve(cells_of(soft), weights, scale, protect)
+    out = soft.join(F.broadcast(rates), "cell")  # at most 2 * (GRID + 1)^2 cells, whatever the corpus
+    return out.select("row", "n", "p", "rate", copies_of(F.col("rate"), F.col("key")).alias("copies")), told | {"model": model, "lexicon": words}
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], text: str = "text", key: str = "doc_id", scale: float | None = None, protect: str | None = None, carry: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """Per row of ``docs``: carried columns (default: the key), ``n_tokens``, ``p_<domain>``, ``rate`` and ``copies``.
 
     ``weights``: wanted share of tokens per domain; ``scale``: wanted total over the present total (None: as
     much as keeps the ``protect`` domain at its present size at least).  With ``protect``, rows that more
-    likely than not belong to that domain keep a rate of 1 at least.  Null and empty texts have no tokens: any
-    rate fits them and gradient steps follow their posterior.  An empty table gives no rows; repeated rows get
-    equal rates and copies.  Only model parameters and domain totals reach the driver.
+    likely than not belong to that domain keep a rate of 1 at least.  Documents whose posteriors fall into one cell of the
+    grid share a rate; the totals use every document's own posterior.  Null and empty texts have no tokens: any rate
+    fits them and theirs follows their posterior.  An empty table gives no rows; repeated rows get equal rates and
+    copies; without labels posteriors are uniform; carried columns that bear a result's name are refused.  Only
+    model parameters and domain totals reach the driver.
     """
-    carry = carry or ["doc_id"]
-    labelled = domain_of(labels)
-    words = lexicon(docs.select("doc_id", F.col(text).alias("text")), labelled)
-    table, names = features(docs.select(*carry, *([text] if text not in carry else [])), text, words)
-    table = materialise(table.drop(*([text] if text not in carry else [])), "mix")
-    model = fit(table.join(labelled, "doc_id"), names)
-    soft = table.select(*carry, F.col("_n").alias("n_tokens"), posteriors(model, names).alias("_p"))
-    soft = soft.select(*carry, "n_tokens", *[F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)])
-    p = {d: F.col(f"p_{d}") for d in DOMAINS}
-    low = F.when(p[protect] >= 0.5, 1.0).otherwise(0.0) if protect else F.lit(0.0)
-    steps, told = solve(soft, p, F.col("n_tokens"), low, weights, scale, protect)
-    out = soft.withColumn("rate", rate_of(p, steps, low))
-    return out.withColumn("copies", copies_of(F.col("rate"), F.col(carry[0]))), told | {"steps": steps, "model": model, "lexicon": words, "names": names, "protect": protect}
-
-
-def resample(docs: DataFrame, told: dict, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` as often as their rate says, by the solved steps alone: no join, no shuffle."""
-    wide, names = features(docs, text, told["lexicon"])
-    wide = wide.select(*[F.col(f"`{c}`") for c in docs.columns], posteriors(told["model"], names).alias("__p"))
-    p = {d: F.col("__p")[i] for i, d in enumerate(DOMAINS)}
-    low = F.when(p[told["protect"]] >= 0.5, 1.0).otherwise(0.0) if told["protect"] else F.lit(0.0)
-    wide = wide.withColumn("__copies", copies_of(rate_of(p, told["steps"], low), F.col("doc_id"))).where("__copies > 0")
-    return wide.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    carry = carry or [key]
+    own = ["n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies"]
+    if set(own) & set(carry):
+        raise ValueError(f"carried columns have names of results: {sorted(set(own) & set(carry))}")
+    out, told = solved(docs, labels, weights, text, key, scale, protect, carry)
+    return out.select("row.*", F.col("n").alias("n_tokens"), *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "copies"), told
+
+
+def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], text: str = "text", key: str = "doc_id", scale: float | None = None, protect: str | None = None) -> DataFrame:
+    """The rows of ``docs`` as often as their copies say, with their own columns, whatever the names.  Nulls, empty tables
+    and repeated rows as in ``mix``."""
+    out, _ = solved(docs, labels, weights, text, key, scale, protect, docs.columns)
+    return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
