@@ -18,14 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise, own_columns, release
 from .graph import components
 
 RADIUS = 4
 #: Minima of the shingle set in a band, and bands: a pair at a Jaccard similarity of 0.8 shares no band with chance (1 - 0.8^4)^24 = 3e-6.
 ROWS, BANDS = 4, 24
-#: Of their 96 minima, cut to a byte, a pair at 0.8 agrees in about 77, and in fewer than so many with a chance of some 1e-6.
-AGREE = 57
+#: Counters of the sketch that tells rare shingles from common ones; it orders, and so only speed depends on it.
+COUNTERS = 1 << 18
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -77,10 +77,10 @@ def fingerprints(shingle: int):
     return run
 
 
-def band_keys(shingles: np.ndarray) -> tuple[list[int], bytes]:
-    """Keys of the bands of a set of hashes (signed), sets that share a key share ROWS minima under random maps; and a byte of each minimum."""
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """Keys of the bands of a set of hashes (signed): sets that share a key share ROWS minima under random maps."""
     if not len(shingles):
-        return [], b""
+        return []
     r = np.random.default_rng(8)
     factor = r.integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
     shift = r.integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64)
@@ -89,39 +89,58 @@ def band_keys(shingles: np.ndarray) -> tuple[list[int], bytes]:
         h = shingles[None, k : k + 2048] * factor + shift
         least = np.minimum(least, (h ^ (h >> np.uint64(32))).min(1))
     keys = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist(), (least & np.uint64(255)).astype(np.uint8).tobytes()
+    return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
 def shingle_sets(shingle: int):
-    """A pandas UDF text -> struct(node, bands, minima): the hash of its set of shingles, and what band_keys() gives."""
+    """A pandas UDF text -> struct(node, bands): the hash of its set of shingles, and its band keys."""
 
-    @F.pandas_udf("node long, bands array<long>, minima binary")
+    @F.pandas_udf("node long, bands array<long>")
     def run(parts: pd.Series) -> pd.DataFrame:
         sets = [np.unique(shingle_hashes(t, shingle)) for t in parts]
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-        keys = [band_keys(s) for s in sets]
-        return pd.DataFrame({"node": nodes, "bands": [k for k, _ in keys], "minima": [m for _, m in keys]})
+        return pd.DataFrame({"node": nodes, "bands": [band_keys(s) for s in sets]})
 
     return run
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sets given as sorted distinct hashes; two empty sets are equal."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+def similar(least: float):
+    """A pandas UDF (set, set, id of the right set): whether two sets of shingles, as sorted distinct 64-bit hashes, have a
+    Jaccard similarity of ``least`` or more, counted exactly; two empty sets are equal.  Rows in a run with the same right set,
+    as a sort leaves them, are counted together, in bounded pieces."""
 
-
-def similar(shingle: int, least: float):
-    """A pandas UDF of two texts: whether their shingle sets are similar by ``least`` at least, counted exactly."""
+    def count(many: list[np.ndarray], one: np.ndarray) -> np.ndarray:
+        sizes = np.array([len(x) for x in many])
+        if not len(one) or not sizes.sum():
+            return np.zeros(len(many), np.int64)
+        flat = np.concatenate(many)
+        hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+        return np.bincount(np.repeat(np.arange(len(many)), sizes), hit, len(many)).astype(np.int64)
 
     @F.pandas_udf("boolean")
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        out, last, own = [], None, None
-        for a, b in zip(left, right, strict=True):
-            if own is None or a != last:
-                last, own = a, np.unique(shingle_hashes(a, shingle))
-            out.append(jaccard(own, np.unique(shingle_hashes(b, shingle))) >= least)
-        return pd.Series(out, dtype=bool)
+    def run(left: pd.Series, right: pd.Series, key: pd.Series) -> pd.Series:
+        sets = [np.frombuffer(x, np.uint64) for x in left]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        out = np.zeros(len(sets), bool)
+        k = key.to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        for a, z in zip(cuts, [*cuts[1:], len(k)], strict=True):
+            one = np.frombuffer(right.iloc[a], np.uint64)
+            for c in range(a, z, 256):
+                d = min(z, c + 256)
+                both = count(sets[c:d], one)
+                out[c:d] = both >= least * (sizes[c:d] + len(one) - both)
+        return pd.Series(out)
+
+    return run
+
+
+def packed_sets(shingle: int):
+    """A pandas UDF text -> its sorted distinct shingle hashes as bytes."""
+
+    @F.pandas_udf("binary")
+    def run(parts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, shingle)).tobytes() for t in parts])
 
     return run
 
@@ -227,84 +246,139 @@ def op8(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return marked.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def verified(pairs: DataFrame, laid: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets are similar by ``least`` at least; texts are read for nodes in pairs only."""
-    pairs = materialise(pairs, "pairs")
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    texts = materialise(laid.join(nodes, "node", "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
-    left, right = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
-    return materialise(pairs.join(left, "u").join(right, "v").where(similar(shingle, least)("a", "b")).select("u", "v"), "links")
+def sets_of(nodes: DataFrame, laid: DataFrame, shingle: int) -> DataFrame:
+    """``nodes`` with their shingle sets, made anew from a text of each."""
+    found = laid.select("node", "text").join(nodes, "node").dropDuplicates(["node"])
+    return materialise(found.select(*nodes.columns, packed_sets(shingle)("text").alias("set")), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar by ``least`` at least."""
+    left, right = sets.select(F.col("node").alias("u"), F.col("set").alias("a")), sets.select(F.col("node").alias("v"), F.col("set").alias("b"))
+    return materialise(pairs.join(left, "u").join(right, "v").where(similar(least)("a", "b", "v")).select("u", "v"), "links")
 
 
-def meeting(buckets: DataFrame, leaders: int | None) -> DataFrame:
-    """Pairs (u, v) of nodes that share a key: of (key, node), each with the key's ``leaders`` smallest nodes; or without
-    leaders, of (key, node, comp, minima), all that differ in comp and agree in AGREE minima."""
-    n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def common_shingles(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur in the sets, by a sketch of COUNTERS counters (what the driver receives at most)."""
 
     def run(batches):
-        held, count, u, v = None, 0, [], []
-        node, comp, minima = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, ROWS * BANDS), np.uint8)
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                total += np.bincount(np.frombuffer(x.as_py(), np.uint64) & np.uint64(COUNTERS - 1), minlength=COUNTERS)
+        live = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array(total[live])], ["at", "n"])
+
+    got = sets.select("set").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(COUNTERS, np.int64)
+    out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
+
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-            u.clear()
-            v.clear()
-            return out
+def prefix_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of nodes in different components that may be similar: every similar pair is among them.
 
+    With shingles in one order for all sets, two similar sets share one of their first n - ceil(least n) + 1 shingles, and at
+    the first that they share enough must be left in both (prefix and position filter).  Rare shingles come first, so sets that
+    differ from all others in many shingles of their own meet nobody, however large a group of near copies they are in."""
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
+
+    def index(batches):
+        often = shared.value
         for b in batches:
-            rows = b.to_pydict()
-            for i, (key, x) in enumerate(zip(rows["key"], rows["node"], strict=True)):
-                if key != held:
-                    held, count = key, 0
-                near = node[:count]
-                if leaders is None:
-                    own = np.frombuffer(rows["minima"][i], np.uint8)
-                    apart = np.flatnonzero(comp[:count] != rows["comp"][i])
-                    near = near[apart[(minima[apart] == own).sum(1) >= AGREE]]
-                u.extend(near.tolist())
-                v.extend([x] * len(near))
-                if leaders is None or count < leaders:
-                    if count == len(node):
-                        more = max(64, count)
-                        node, comp = np.append(node, np.zeros(more, np.int64)), np.append(comp, np.zeros(more, np.int64))
-                        minima = np.concatenate([minima, np.zeros((more, ROWS * BANDS), np.uint8)])
-                    node[count] = x
-                    if leaders is None:
-                        comp[count], minima[count] = rows["comp"][i], own
-                    count += 1
-                if len(u) > 100_000:
-                    yield flush()
-        yield flush()
-
-    return buckets.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long").distinct()
-
-
-def set_classes(laid: DataFrame, shingle: int, least: float, leaders: int = 8) -> DataFrame:
-    """``node``, ``root`` for the nodes of (node, bands, minima, text) that are linked to another.  Candidates share a band key.
-    First every node is compared with its bucket's ``leaders`` smallest, so that near copies of each other meet in one
-    component after as many comparisons as rows; then all pairs of a bucket that are in different components still."""
-    buckets = laid.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
-    buckets = materialise(buckets, "buckets")
-    tried = materialise(meeting(buckets.select("key", "node"), leaders), "tried")
-    links = verified(tried, laid, shingle, least)
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                cols = [[], [], [], [], []]
+                for node, comp, x in zip(*[part.column(c).to_pylist() for c in ("node", "comp", "set")], strict=True):
+                    s = np.frombuffer(x, np.uint64)
+                    k = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1 if len(s) else 0
+                    first = s[np.lexsort((s, often[s & np.uint64(COUNTERS - 1)]))[:k]]
+                    for c, v in zip(cols, (first.view(np.int64), np.full(len(first), node), np.full(len(first), comp), np.full(len(first), len(s)), np.arange(len(first))), strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, ("i8", "i8", "i8", "i4", "i4"), strict=True)], ["token", "node", "comp", "size", "pos"])
+
+    def meet(batches):
+        names = ("token", "node", "comp", "size", "pos")
+        held = None  # the token that the last batch left open
+
+        def pairs(g):
+            token, node, comp, size, pos = g
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            split = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
+            ends = np.append(first[1:], len(token))
+            for a, z in zip(first[split].tolist(), ends[split].tolist(), strict=True):
+                for i in range(a, z, 512):  # a block of rows against those after them
+                    one, two = slice(i, min(z, i + 512)), slice(i, z)
+                    sx, sy = size[one, None], size[None, two]
+                    rest = 1 + np.minimum(sx - pos[one, None], sy - pos[None, two]) - 1
+                    ok = (comp[one, None] != comp[None, two]) & (np.arange(i, min(z, i + 512))[:, None] < np.arange(i, z)[None])
+                    ok &= (np.minimum(sx, sy) >= least * np.maximum(sx, sy) - 1e-9) & (rest >= least / (1 + least) * (sx + sy) - 1e-9)
+                    u, v = np.nonzero(ok)
+                    x, y = node[i + u], node[i + v]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["u", "v"])
+
+        for b in batches:
+            g = [b.column(c).to_numpy() for c in names]
+            if not len(g[0]):
+                continue
+            if held is not None:
+                g = [np.concatenate(x) for x in zip(held, g, strict=True)]
+            last = int(np.argmax(g[0] == g[0][-1]))  # rows are sorted by token
+            held = [x[last:] for x in g]
+            if last:
+                yield from pairs([x[:last] for x in g])
+        if held is not None:
+            yield from pairs(held)
+
+    laid = sets.select("node", "comp", "set").mapInArrow(index, "token long, node long, comp long, size int, pos int")
+    return laid.repartition(n, "token").sortWithinPartitions("token").mapInArrow(meet, "u long, v long").distinct()
+
+
+def set_classes(laid: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``node``, ``root`` for the nodes of (node, bands, text) that are linked to another.  Candidates share a band key.
+
+    Every node is first compared with one other, the node that leads most of its keys, which joins groups of near copies
+    in as many comparisons as rows; a key is led by the node that meets most others, as the text does that the others
+    were copied from.  What then still lies in different components under some key goes through
+    ``prefix_pairs``, which misses no similar pair of theirs."""
+    entries = materialise(laid.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key")), "entries")
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialise(entries.join(sizes, "key"), "met")
+    release(entries)
+    degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
+    bare, met = met, materialise(met.join(degree, "node").select("key", "node", "degree"), "degrees")
+    release(bare)
+    leads = met.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("lead"))
+    votes = met.join(leads, "key").where("node != lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
+    tried = materialise(votes.groupBy("node").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead")).select(F.col("lead").alias("u"), F.col("node").alias("v")), "tried")
+    sets = sets_of(tried.select(F.col("u").alias("node")).union(tried.select("v")).distinct(), laid, shingle)
+    links = verified(tried, sets, least)
+    release(sets)
     found = materialise(components(links), "found")
-    met = tried.select(F.col("u").alias("node")).union(tried.select("v")).distinct()
-    told = buckets.join(met, "node", "left_semi").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    told = materialise(told, "told")
-    split = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.expr(f"lo != hi AND n > {leaders}"))
-    minima = laid.join(met, "node", "left_semi").select("node", "minima").dropDuplicates(["node"])
-    more = meeting(told.join(split.select("key"), "key").join(minima, "node"), None).join(tried, ["u", "v"], "left_anti")
-    return components(links.unionByName(verified(more, laid, shingle, least)))
+    told = materialise(met.join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp")), "told")
+    release(met)
+    split = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    sets = sets_of(told.join(split.select("key"), "key", "left_semi").select("node", "comp").distinct(), laid, shingle)
+    more = materialise(prefix_pairs(sets, least).join(tried, ["u", "v"], "left_anti"), "pairs")
+    out = components(links.unionByName(verified(more, sets, least)))
+    for used in (tried, found, told, sets, more):
+        release(used)
+    return out
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each component: that of the smallest doc_id (rows equal in doc_id and shingles: any one), with the
-    columns of ``docs``.  A link is an exact Jaccard similarity of ``least`` or more of the sets of five-word shingles.
-    A null id stays only if no other id is in the class."""
-    wide = materialise(docs.withColumn("__f", shingle_sets(shingle)(F.col("text"))), "wide")
-    laid = wide.select(F.col("__f.node").alias("node"), F.col("__f.bands").alias("bands"), F.col("__f.minima").alias("minima"), "text")
+    columns of ``docs``.  A link is an exact Jaccard similarity of ``least`` or more of the sets of five-word shingles
+    (a text of fewer words is one shingle; null, empty and wordless texts have none and are copies of each other).
+    A null id stays only if no other id is in the class.  An empty table gives no rows; column names of any kind may
+    occur, as private ones avoid them."""
+    f, node, root = (fresh(x, docs) for x in ("__sets", "__node", "__id"))
+    wide = materialise(docs.withColumn(f, shingle_sets(shingle)(F.col("text"))), "wide")
+    at = F.col(f"{f}.node")
+    laid = wide.select(at.alias("node"), F.col(f"{f}.bands").alias("bands"), "text")
     found = set_classes(laid, shingle, least)
-    marked = wide.select("doc_id", F.col("__f.node").alias("node"))
+    marked = wide.select("doc_id", at.alias("node"))
     own = marked.groupBy("node").agg(F.min("doc_id").alias("least"))  # exact copies combine before the shuffle
     near = materialise(own.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "roots")
     best = near.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -312,6 +386,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame
     # name no class, so there each node stays
     stay = marked.distinct().join(near.join(best, "root").select("node", "component_id"), "node").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     key = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("node"), F.col("node").cast("string")))
-    stay = stay.groupBy(key.alias("__key")).agg(F.min("node").alias("__node"), F.min("component_id").alias("__id"))
-    kept = wide.join(stay, (F.col("__f.node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.withColumn("__n", F.col("__f.node")).dropDuplicates(["doc_id", "__n"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = stay.groupBy(key.alias("key")).agg(F.min("node").alias(node), F.min("component_id").alias(root)).drop("key")
+    kept = wide.join(stay, (at == F.col(node)) & F.col("doc_id").eqNullSafe(F.col(root)), "left_semi")
+    return kept.withColumn(node, at).dropDuplicates(["doc_id", node]).select(*own_columns(docs))
