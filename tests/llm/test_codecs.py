@@ -1,7 +1,9 @@
 """Pieces, media, near-duplicates, token files: exact round trips and brute force, odd rows."""
 
 import hashlib
+import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -144,6 +146,56 @@ def test_groups_joined_through_any_pair(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 10, 12]
 
 
+def kept_by_brute_force(rows, least=0.8):
+    sets = {}
+    for i, t in rows:
+        words = (t or "").encode().lower().split()
+        sets[i] = {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    owners, pairs = {}, Counter()
+    for i, s in sets.items():
+        for x in s or {None}:
+            for j in owners.setdefault(x, []):
+                pairs[j, i] += 1
+            owners[x].append(i)
+    links = [(i, j) for (i, j), n in pairs.items() if n >= least * (len(sets[i] | sets[j]) or 1) - 1e-9]
+    return set(components(links, list(sets)).values())  # a root is the smallest id of its component
+
+
+def test_near_copies_against_brute_force(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for group in range(3):  # copies with 0 to 14 changed words each: similarities from 0.2 to 1
+        base = [f"g{group}w{i}" for i in range(150)]
+        for _ in range(120):
+            words = list(base)
+            for k in r.integers(0, 150, int(r.integers(0, 15))):
+                words[k] = f"new{r.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + i, " ".join(f"own{r.integers(0, 10**6)}" for _ in range(40))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id for x in simhash.keep_one(docs).collect()} == kept_by_brute_force(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_near_copies_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()]
+    assert {x.doc_id for x in simhash.keep_one(docs).collect()} == kept_by_brute_force(rows)
+
+
+def test_names_of_private_columns_may_occur(spark, odd):
+    clash = odd.withColumnsRenamed({"score": "__sets", "fp": "__node", "word": "node", "label": "__id", "shard": "bands"})
+    out = simhash.keep_one(clash)
+    assert out.columns == clash.columns and out.count() == simhash.keep_one(odd).count()
+
+
+def test_unfinished_components_raise(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(50)], "u long, v long")
+    with pytest.raises(RuntimeError, match="rounds"):
+        graph.components(chain, rounds=1)
+    assert {(x.node, x.root) for x in graph.components(chain).collect()} == {(i, 0) for i in range(51)}
+
+
 def test_links_lose_nothing(spark):
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 40, dtype=np.uint64)
@@ -198,3 +250,32 @@ def test_token_files(spark, odd, none):
         assert (x.doc_id, x.start, x.n_tokens, x.ids_crc32) == (r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert tokenfile.op10(none, tokenizer("word_bpe_49k.json")).count() == 0
+
+
+def test_words_encode_like_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from quillon.llm import wordids
+
+    path = tokenizer("word_bpe_49k.json")
+    t, own = Tokenizer.from_file(path), wordids.Words(path)
+    texts = ["", " \t\x0b ", "Don't  stop\x1cnow\x85 a\u2028b", "ÀÉ ß ñandú 12,5% x\u0301", "日本語 🙂", "<|endoftext|> mid<|endoftext|>dle", "a " * 300, None, "x\u00a0y\u3000z"]
+    r = np.random.default_rng(2)
+    texts += ["".join(r.choice(list("abC é.,'\n\t1€"), 60)) for _ in range(50)]
+    for _ in range(2):  # the second time from the cache
+        got = own.encode(pa.array(texts, pa.string()))
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_a_folder_decodes_alone_and_hot_ids_are_dealt_out(spark):
+    path = tokenizer("word_bpe_49k.json")
+    rows = [(None, f"none {i}") for i in range(3)] + [(-(2**63), "least")] + [(5, f"hot {i} text") for i in range(200)] + [(i, f"text {i}") for i in range(10, 40)]
+    folder = tokenfile.encode_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path)
+    got = sorted(tokenfile.decode_table(spark.newSession(), folder).collect(), key=lambda x: x.start)
+    assert [x.doc_id for x in got] == [None] * 3 + [-(2**63)] + [5] * 200 + list(range(10, 40))
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False)) and got[0].start == 0
+    assert spark.read.parquet(folder).where("part >= 0").select("part").distinct().count() > 3
+    cuts, keys = np.array([2, 5, 5, 5, 9]), np.array([2, 5, 5, 5, 9, 10])
+    salts = np.array([0, 0, 2**63, 2**64 - 1, 7, 7], np.uint64)
+    assert tokenfile.places(cuts, keys, salts).tolist() == [0, 1, 2, 3, 4, 5]

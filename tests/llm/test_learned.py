@@ -41,16 +41,37 @@ def longest_phrases(reference, text):
     return n
 
 
+def parsed(model, texts):
+    return model.phrases([langid.normal(t, langid.letters()) for t in texts])
+
+
 def test_phrases_are_greedy_longest_matches():
-    refs = {"x": "the cat sat on the mat " * 3, "y": "der hund lag auf dem bett " * 3}
+    refs = {"x": "the cat sat on the mat " * 3, "y": "der hund lag auf dem bett " * 3, "none": "12 34"}
     model = langid.Model(refs, 60)
-    clean = {k: " ".join(v.split())[:60] for k, v in refs.items()}
-    short = min(map(len, clean.values()))
+    assert model.langs == ["x", "y"]  # a language without letters isn't learned
+    clean = {k: refs[k].strip()[:60].encode() for k in model.langs}
     texts = ["the mat sat", "auf dem hund", "the hund", "catcatcat", "t"]
-    got = model.phrases(texts, model.symbols())
+    got = parsed(model, texts)
+    for i, t in enumerate(texts):
+        for k, lang in enumerate(model.langs):
+            assert round(got[i, k] / model.bits[k]) == longest_phrases(clean[lang], t.encode()), (t, lang)
+
+
+def test_phrases_of_long_texts_and_large_scripts():
+    r = np.random.default_rng(3)
+    script = [chr(0x4E00 + i) for i in range(400)]
+    refs = {"han": "".join(r.choice(script, 3000)), "abc": " ".join("".join(r.choice(list("abcdefgh"), 6)) for _ in range(700))}
+    model = langid.Model(refs, 9000)
+    clean = {k: langid.normal(v.strip(), langid.letters())[:9000].tobytes() for k, v in refs.items()}
+    copy = refs["abc"][17:4417]  # one phrase over several blocks
+    mixed = "".join(r.choice(script, 1500)) + " " + copy + " " + "".join(r.choice(list("abcdefghé "), 2500)) + refs["han"][5:900]
+    texts = [mixed, copy, refs["han"][100:1500], "x" + copy * 2, " ".join(["abc"] * 900)]
+    got = parsed(model, texts)
     for i, t in enumerate(texts):
+        t = langid.normal(t, langid.letters()).tobytes()
         for k, lang in enumerate(model.langs):
-            assert round(got[i, k] / model.bits[k]) == longest_phrases(clean[lang][: max(short, 15)], t), (t, lang)
+            assert round(got[i, k] / model.bits[k]) == longest_phrases(clean[lang], t), (i, lang)
+    assert model.predict([refs["han"][40:90], "abc def gh " * 3], langid.letters())[0] == ["han", "abc"]
 
 
 @have

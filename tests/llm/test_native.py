@@ -1,8 +1,10 @@
 """Sharding, mixing and rules against brute force, with odd rows."""
 
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,25 +66,72 @@ def test_order_is_rejection_per_cost():
     assert rules.order([("a", 1.0, 0.1), ("b", 2.0, 0.9), ("c", 1.0, 0.0), ("d", 0.5, 0.0)]) == ["b", "a", "d", "c"]
 
 
+def test_rules_skip_and_survive_long_texts(spark):
+    bad = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    never = {"few_words": rules.RULES["few_words"], "boom": lambda f: F.raise_error(F.concat(F.lit("evaluated "), f["n_upper"].cast("string"))).isNull()}
+    known = lambda t, words: rules.verdict(rules.Features(t, words), ["few_words", "boom"], never)
+    assert [r.v for r in bad.select(rules.bound(F.col("text"), known).alias("v")).collect()] == ["few_words"] * 2
+    with pytest.raises(Exception, match="evaluated"):  # the counter-proof: a row that no rule before it rejects gets there
+        spark.createDataFrame([("a " * 12,)], "text string").select(rules.bound(F.col("text"), known)).collect()
+    long = spark.createDataFrame([(1, " ".join(f"word{i % 97} is{i}" for i in range(20_000)))], "doc_id long, text string")
+    began = time.perf_counter()
+    kept = rules.keep_good(long)
+    assert kept.count() == 1 and rules.judge(long).where("judged.rejected_by is null").count() == 1
+    assert time.perf_counter() - began < 60
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 3  # words; lines, for two rules
+
+
+def test_owed_features_are_free():
+    measured = [("a", 1.0, 0.9), ("b", 2.0, 0.1), ("c", 1.0, 0.2)]
+    assert rules.order(measured, ["b", "c"]) == ["c", "b", "a"]
+    assert rules.used_by(rules.RULES["long_words"]) == {"word_chars", "n_words"}
+
+
 def test_mix(spark, odd, none, labels):
-    out, told = mixing.mix(odd, labels, {"high": 0.5, "low": 0.3, "toxic": 0.2}, scale=1.0)
+    weights = {"high": 0.5, "low": 0.3, "toxic": 0.2}
+    out, told = mixing.mix(odd, labels, weights, scale=1.0)
     rows = out.collect()
     assert len(rows) == odd.count() and all(r.rate >= 0 and abs(r.p_high + r.p_low + r.p_toxic - 1) < 1e-9 for r in rows)
     for d in mixing.DOMAINS:
         assert abs(sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in rows) - told["got"][d]) < 1e-3
-    assert sum(abs(told["got"][d] - told["goal"][d]) for d in told["goal"]) <= sum(abs(told["start"][d] - told["goal"][d]) for d in told["goal"])
-    again = mixing.resample(odd, told)
+    assert sum((told["got"][d] - told["goal"][d]) ** 2 for d in told["goal"]) <= sum((told["start"][d] - told["goal"][d]) ** 2 for d in told["goal"])
+    again = mixing.resample(odd, labels, weights, scale=1.0)
     assert again.columns == odd.columns
     want = Counter({k: 0 for k in {r.doc_id for r in rows}})
     want.update({k: sum(r.copies for r in rows if r.doc_id == k) for k in want})
     assert Counter(r.doc_id for r in again.collect()) == +want
-    empty, told = mixing.mix(none, labels.limit(0), {"high": 1, "low": 1, "toxic": 1}, protect="high")
-    assert empty.count() == 0 and mixing.resample(none, told).count() == 0
-
-
-def test_solver_reaches_targets(spark):
-    rows = [(float(1 + i % 7), 1 + i % 10, 1 + 3 * i % 7, 1 + 5 * i % 11) for i in range(200)]
-    table = spark.createDataFrame([(n, a / (a + b + c), b / (a + b + c), c / (a + b + c)) for n, a, b, c in rows], "n double, high double, low double, toxic double")
-    p = {d: F.col(d) for d in mixing.DOMAINS}
-    steps, told = mixing.solve(table, p, F.col("n"), F.lit(0.0), {"high": 0.5, "low": 0.3, "toxic": 0.2}, 1.0, None)
-    assert steps and all(abs(told["got"][d] - told["goal"][d]) < 1e-3 for d in told["goal"])
+    even = {"high": 1, "low": 1, "toxic": 1}
+    empty, told = mixing.mix(none, labels.limit(0), even, protect="high")
+    assert empty.count() == 0 and mixing.resample(none, labels.limit(0), even).count() == 0
+    clash = odd.withColumnsRenamed({"score": "rate", "fp": "n_tokens", "word": "row", "label": "cell"})
+    assert mixing.resample(clash, labels, weights).columns == clash.columns
+    with pytest.raises(ValueError, match="rate"):
+        mixing.mix(clash, labels, weights, carry=["doc_id", "rate"])
+
+
+@pytest.mark.parametrize("weights,least", [((0.5, 0.3, 0.2), 0.0), ((0.05, 0.05, 0.9), 0.0), ((0.02, 0.9, 0.08), 1.0)])
+def test_solver_against_plain_projected_gradient(spark, weights, least):
+    r = np.random.default_rng(1)
+    n, P = r.integers(1, 500, 60), r.dirichlet([4, 1, 0.3], 60)
+    low = np.where(np.arange(60) % 3 == 0, least, 0.0)
+    cells = spark.createDataFrame([([i], [float(v) for v in P[i]], float(n[i]), float(low[i])) for i in range(60)], "cell array<int>, p array<double>, n double, low double")
+    rates, told = mixing.solve(cells, dict(zip(mixing.DOMAINS, weights, strict=True)), 1.0)
+    x, A, goal = np.maximum(low, 1.0), P * n[:, None], np.array(weights) * n.sum()
+    L = np.linalg.eigvalsh(A.T @ A).max()
+    for _ in range(100_000):
+        x = np.maximum(low, x - A @ (A.T @ x - goal) / L)
+    best = ((A.T @ x - goal) ** 2).sum()
+    own = np.zeros(60)
+    for row in rates.collect():
+        own[row.cell[0]] = row.rate
+    assert (own >= low).all() and told["converged"]
+    assert ((A.T @ own - goal) ** 2).sum() <= best * 1.001 + (1e-4 * n.sum()) ** 2
+    assert np.allclose([told["got"][d] for d in mixing.DOMAINS], A.T @ own, rtol=1e-6)
+
+
+def test_cells_keep_the_totals(spark):
+    r = np.random.default_rng(2)
+    P = r.dirichlet([1, 1, 1], 500)
+    soft = spark.createDataFrame([(int(i % 9), [float(v) for v in P[i]]) for i in range(500)], "n long, p array<double>").withColumn("cell", mixing.cell(F.col("p"), F.lit(0)))
+    cells = mixing.cells_of(soft).collect()
+    assert len(cells) <= 500 and np.allclose(sum(np.array(c.p) * c.n for c in cells), (P * (np.arange(500) % 9)[:, None]).sum(0))
