@@ -11,6 +11,7 @@ from quillon.llm import langid, lm, quality
 from quillon.llm.queries import tokenizer
 
 DATA = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
 have = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
@@ -122,14 +123,20 @@ def test_every_training_document_teaches(spark):
     rows = [(i, "one two three four five six seven eight " * 4) for i in range(400)] + [(400, "alpha beta " * 10_000)]
     train = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     coder = lm.Subwords(path)
-    classes = lm.Classes(lm.id_counts(lm.word_counts(train), path), coder.end)
-    model = lm.Attention(classes.n, classes.unigram)
+    grams = lm.gram_counts(lm.word_counts(train), path)
     texts = [np.append(np.frombuffer(coder.ids(lm.tokens(t)), "<u2"), np.uint16(coder.end)).astype(np.int64) for _, t in rows]
-    x, y, live = lm.blocks([classes.of[t] for t in texts], classes.n, classes.end)
-    before = lm.Attention.score(model.tables(), x, y, live).sum()
-    assert lm.whole_pass(train, model, classes, path) == sum(map(len, texts))  # neither documents nor tails are left out
-    after = lm.Attention.score(model.tables(), x, y, live).sum()
-    assert after > before, (before, after)
+    every = np.concatenate(texts)
+    assert (np.bincount(grams.of[every], minlength=grams.n) == np.round((grams.any * (sum(map(len, texts)) + 0.5 * len(grams.of)) - 0.5))[: grams.n])[1:].all()
+    model = lm.Attention(grams.n)
+    grams.open()
+    x, y, live = lm.blocks([grams.of[t] for t in texts], grams.n, grams.end)
+    before = lm.Attention.score(model.tables(), grams, x, y, live).sum()
+    lm.learn_kinds(train, grams, path, 1)
+    grams.open()
+    kinds = lm.Attention.score(model.tables(), grams, x, y, live).sum()
+    assert kinds > before
+    assert lm.learn_weights(train, model, grams, path, 1) == sum(map(len, texts))  # neither documents nor tails are left out
+    assert lm.Attention.score(model.tables(), grams, x, y, live).sum() > kinds
 
 
 def test_end_token_beyond_the_broadcast(spark, odd, monkeypatch):
@@ -153,37 +160,68 @@ def test_lm_empty(spark, none):
     assert lm.op9(none, tokenizer("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def grams_of(n, seed=0, kept=4096):
+    """Counts of random words over n ids, of which the last is the end."""
+    r = np.random.default_rng(seed)
+    ids, firsts, lasts, pairs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), Counter()
+    for _ in range(3 * n):
+        w, c = r.integers(0, n - 1, int(r.integers(1, 5))), int(r.integers(1, 9))
+        np.add.at(ids, w, c)
+        firsts[w[0]] += c
+        lasts[w[-1]] += c
+        for x in zip(w, w[1:], strict=False):
+            pairs[x] += c
+    for x in (ids, firsts, lasts):
+        x[n - 1] += 7
+    grams = lm.Grams(ids, firsts, lasts, np.array([(*k, c) for k, c in pairs.items()]), n - 1, kept)
+    m = len(grams.keys)
+    grams.shape(r.integers(0, 30, (m, lm.MIX)).astype(float), r.integers(0, 9, (grams.n, lm.MIX)).astype(float), r.integers(0, 9, (grams.n, lm.MIX)).astype(float))
+    grams.open()
+    return grams
+
+
 def test_gradient_and_probabilities():
     r = np.random.default_rng(0)
-    uni = r.random(30).astype(np.float32)
-    model = lm.Attention(30, uni / uni.sum())
-    x, y, rows = lm.blocks([r.integers(0, 30, 50), r.integers(0, 30, 7)], 30, 3)
-    g, _ = model.gradient(x, y, rows)
+    grams = grams_of(29)
+    n = grams.n
+    y = np.arange(n)
+    for x in range(n):  # every kind's distribution sums to 1
+        assert np.allclose(grams.given(np.full(n, x), y).sum(0), 1, atol=1e-5)
+    model = lm.Attention(n)
+    x, y, rows = lm.blocks([r.integers(0, n, 50), r.integers(0, n, 7)], n, grams.end)
+    g, _ = model.gradient(grams, x, y, rows)
     for name in model.p:
-        i = tuple(int(r.integers(0, n)) for n in model.p[name].shape)
+        i = tuple(int(r.integers(0, m)) for m in model.p[name].shape)
         old, e = model.p[name].copy(), 1e-2
         model.p[name][i] += e
-        up = model.gradient(x, y, rows)[1]
+        up = model.gradient(grams, x, y, rows)[1]
         model.p[name][i] = old[i] - e
-        down = model.gradient(x, y, rows)[1]
+        down = model.gradient(grams, x, y, rows)[1]
         model.p[name] = old
         assert abs((up - down) / 2 / e - float(np.asarray(g[name])[i])) < 3e-4, name
     total = 0
-    for t in range(30):  # all continuations of one prefix sum to 1
-        x, y, rows = lm.blocks([np.array([5, 7, t])], 30, 3)
-        total += 10 ** lm.Attention.score(model.tables(), x, y, rows)[1, 2]
+    for t in range(n):  # all continuations of one prefix sum to 1
+        x, y, rows = lm.blocks([np.array([5, 7, t])], n, grams.end)
+        total += 10 ** lm.Attention.score(model.tables(), grams, x, y, rows)[1, 2]
     assert abs(total - 1) < 1e-4
 
 
+def test_rare_ids_share_a_class():
+    grams = grams_of(29, kept=10)
+    assert grams.n == 10 and abs(sum(10.0 ** grams.log10[grams.of == 0]) - 1) < 1e-9 and (grams.log10[grams.of > 0] == 0).all()
+
+
 def test_windows_equal_one_pass():
     """Batched windows score each id as a plain loop over its own context does."""
     r = np.random.default_rng(1)
-    model = lm.Attention(20, np.full(20, 0.05, np.float32))
-    ids = r.integers(0, 20, 45)
+    grams = grams_of(20)
+    n = grams.n
+    model = lm.Attention(n)
+    ids = r.integers(0, n, 45)
     t = model.tables()
-    x, y, rows = lm.blocks([ids], 20, 0)
-    got = lm.Attention.score(t, x, y, rows, step=1)[1:].ravel()[:45]
-    seen = np.concatenate([[0], ids[:-1]])
+    x, y, rows = lm.blocks([ids], n, grams.end)
+    got = lm.Attention.score(t, grams, x, y, rows, step=1)[1:].ravel()[:45]
+    seen = np.concatenate([[grams.end], ids[:-1]])
     for i in range(45):
         lo = max(0, i // lm.STEP * lm.STEP - lm.STEP)
         k = seen[lo : i + 1]
@@ -191,11 +229,38 @@ def test_windows_equal_one_pass():
         s = np.exp(t["k"][k] @ t["q"][seen[i]] + bias)
         o = s @ t["v"][k] / s.sum()
         pi = np.exp(o @ t["o"] + t["g"][seen[i]])
-        assert abs(got[i] - np.log10(pi / pi.sum() @ t["out"][ids[i]])) < 1e-4
+        assert abs(got[i] - np.log10(pi / pi.sum() @ grams.given(seen[i : i + 1], ids[i : i + 1])[0])) < 1e-4
 
 
 def test_training_helps():
-    seq = [np.tile([1, 2, 3, 4], 50)]
-    model = lm.Attention(6, np.full(6, 1 / 6, np.float32))
-    losses = model.train(seq, 60, 0)
-    assert losses[-1] < 0.5 * losses[0]
+    grams = grams_of(12)
+    steps = lm.Steps(lm.Attention(grams.n), grams, batch=13)
+    for _ in range(60):
+        steps.add(np.tile([1, 2, 3, 4], 50))
+    assert np.mean(steps.losses[-5:]) < steps.losses[0] - 0.02
+
+
+def test_runs_cover_texts_by_their_length():
+    for n in (0, 1, lm.CHUNK, lm.CHUNK + 1, 50 * lm.CHUNK + 3):
+        got = lm.chunks([b"w"] * n, 8)
+        assert 1 <= len(got) <= -(-n // lm.CHUNK / 8) + 1 and sum(last for _, last in got) <= 1
+        assert sum(len(part) for part, _ in lm.chunks([b"w"] * n, 1)) == n
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
+def test_lm_beats_words_and_subwords_on_held_out_texts(spark):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").where("text is not null")
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    held = [r for r in lm.op9(docs, path).collect() if r.held_out]
+    train = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 7 != 2")
+    grams = lm.gram_counts(lm.word_counts(train), path)
+    coder, single = lm.Subwords(path), 0.0
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in held:
+        ids = np.append(np.frombuffer(coder.ids(lm.tokens(texts[r.doc_id])), "<u2"), coder.end).astype(np.int64)
+        single += (np.log10(grams.any[grams.of[ids]]) + grams.log10[ids]).sum()
+    score, base, n = (sum(x) for x in zip(*[(r.score, r.base_score, r.n_tokens) for r in held], strict=True))
+    print(f"per token: model {score / n:.3f}, base {base / n:.3f}, subword unigram {single / n:.3f}")
+    assert score > single + n and score > base + 0.02 * n
+    better = np.mean([r.score > r.base_score for r in held])
+    assert better > 0.55, better
