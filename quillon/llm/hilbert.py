@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import numbered
+from .common import materialise, numbered, release
 
 
 def _proxy(df: DataFrame, name: str, skip: int) -> Column:
@@ -98,12 +98,15 @@ def hilbert_shards(df: DataFrame, dims: list[str], shards: int, bits: int = 5, c
     curve = hilbert_index(F.array(*at.values()), len(dims), bits)
     out = list((carry or {}).items())
     base = df.select(curve.alias("curve"), *[c.alias(k) for k, c in out])
+    base = materialise(base, "curve")  # a range exchange samples its input, which would compute every curve index twice
     ranked = numbered(base, ["curve", *(ties or [])], "hilbert")
+    release(base)
     shard = F.expr(f"_rank * {shards} div _total")
     start = F.expr(f"(shard * _total + {shards - 1}) div {shards}")
     return ranked.withColumn("shard", shard).withColumn("slot", F.col("_rank") - start).withColumn("shard", F.col("shard").cast("int")).drop("_rank", "_total")
 
 
 def zone_map(sharded: DataFrame, columns: list[str]) -> DataFrame:
-    """Smallest and largest value of each column per shard: what a reader prunes files by."""
+    """Smallest and largest value of each column per shard: what a reader prunes files by.  Nulls are passed over (a shard of
+    nulls alone has null bounds); an empty table has no shards."""
     return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), *[f(F.col(c)).alias(f"{k}_{c}") for c in columns for k, f in (("min", F.min), ("max", F.max))])
