@@ -21,6 +21,8 @@ def test_quality_held_out(spark):
     out = quality.classify(spark.read.parquet(f"{DATA}/documents.parquet"), labels).join(labels, "doc_id").toPandas()
     held = out[out.held_out]
     assert len(held) > 50 and (held.predicted == held.quality).mean() > 0.95
+    good, bad = held[held.quality == 1].score.to_numpy(), held[held.quality == 0].score.to_numpy()
+    assert (good[:, None] > bad[None]).mean() > 0.98  # a good document ranks over a bad one
     assert all(out.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in out.doc_id])
 
 
@@ -29,6 +31,10 @@ def test_quality_odd(spark, odd, none, labels):
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     assert quality.classify(none, labels).count() == 0
     assert {round(r.score, 9) for r in quality.classify(odd, labels.limit(0)).collect()} == {0.3}
+    rows = [(i % 30, f"text {i} " + ("### $$ " if i % 3 else "word and word ") * (i % 7)) for i in range(120)]  # ids with several texts
+    marks = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    once, twice = ({(r.doc_id, round(r.score, 9)) for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), marks).collect()} for n in (2, 5))
+    assert once == twice
 
 
 def longest_phrases(reference, text):
@@ -124,7 +130,7 @@ def test_every_training_document_teaches(spark):
     train = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     coder = lm.Subwords(path)
     grams = lm.gram_counts(lm.word_counts(train), path)
-    texts = [np.append(np.frombuffer(coder.ids(lm.tokens(t)), "<u2"), np.uint16(coder.end)).astype(np.int64) for _, t in rows]
+    texts = [np.append(coder.ids([w.decode() for w in lm.tokens(t)]), coder.end) for _, t in rows]
     every = np.concatenate(texts)
     assert (np.bincount(grams.of[every], minlength=grams.n) == np.round((grams.any * (sum(map(len, texts)) + 0.5 * len(grams.of)) - 0.5))[: grams.n])[1:].all()
     model = lm.Attention(grams.n)
@@ -135,7 +141,7 @@ def test_every_training_document_teaches(spark):
     grams.open()
     kinds = lm.Attention.score(model.tables(), grams, x, y, live).sum()
     assert kinds > before
-    assert lm.learn_weights(train, model, grams, path, 1) == sum(map(len, texts))  # neither documents nor tails are left out
+    assert lm.learn_weights(train, model, grams, path, lm.CHUNK, 1) == sum(map(len, texts))  # neither documents nor tails are left out
     assert lm.Attention.score(model.tables(), grams, x, y, live).sum() > kinds
 
 
@@ -241,10 +247,10 @@ def test_training_helps():
 
 
 def test_runs_cover_texts_by_their_length():
-    for n in (0, 1, lm.CHUNK, lm.CHUNK + 1, 50 * lm.CHUNK + 3):
-        got = lm.chunks([b"w"] * n, 8)
-        assert 1 <= len(got) <= -(-n // lm.CHUNK / 8) + 1 and sum(last for _, last in got) <= 1
-        assert sum(len(part) for part, _ in lm.chunks([b"w"] * n, 1)) == n
+    for n in (0, 1, 96, 97, 50 * 96 + 3):
+        got = lm.runs(n, 96, 8)
+        assert 1 <= len(got) <= -(-n // 96 / 8) + 1 and sum(last for *_, last in got) <= 1
+        assert [x for a, z, _ in lm.runs(n, 96, 1) for x in range(a, z)] == list(range(n))
 
 
 @pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
@@ -257,7 +263,7 @@ def test_lm_beats_words_and_subwords_on_held_out_texts(spark):
     coder, single = lm.Subwords(path), 0.0
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in held:
-        ids = np.append(np.frombuffer(coder.ids(lm.tokens(texts[r.doc_id])), "<u2"), coder.end).astype(np.int64)
+        ids = np.append(coder.ids([w.decode() for w in lm.tokens(texts[r.doc_id])]), coder.end)
         single += (np.log10(grams.any[grams.of[ids]]) + grams.log10[ids]).sum()
     score, base, n = (sum(x) for x in zip(*[(r.score, r.base_score, r.n_tokens) for r in held], strict=True))
     print(f"per token: model {score / n:.3f}, base {base / n:.3f}, subword unigram {single / n:.3f}")
