@@ -136,8 +136,8 @@ def latent(index, dims: int | None = None) -> tuple[DataFrame, DataFrame]:
 
 def project(weights: DataFrame, projection: DataFrame, key: str) -> DataFrame:
     """Weighted sums of term vectors per key, scaled to length 1."""
-    flat = weights.join(projection, "col").select(key, "w", F.posexplode("vector").alias("at", "x"))
-    summed = flat.groupBy(key, "at").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-    vectors = summed.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("vector"))
+    terms = weights.join(projection, "col").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("col", "w", "vector"))).alias("xs"))  # one name's terms per row
+    added = F.aggregate(F.slice("xs", 2, 1 << 30), F.transform(F.col("xs")[0]["vector"], lambda v: v * F.col("xs")[0]["w"]), lambda a, s: F.zip_with(a, s["vector"], lambda x, v: x + s["w"] * v))
+    vectors = terms.select(key, added.alias("vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     return vectors.withColumn("n", norm).select(key, F.when(F.col("n") > 0, F.transform("vector", lambda x: x / F.col("n"))).otherwise(F.col("vector")).alias("vector"))

@@ -127,6 +127,17 @@ def diagnosis(tags: DataFrame, n_failed: int) -> DataFrame:
     return tags.join(rules, "tag").withColumn("share", share).where("share >= threshold")
 
 
+def accuracy_by(results: DataFrame, category: str = "method") -> DataFrame:
+    """Strict accuracy of the first 1, 3 and 5 results per category."""
+    hits = [F.round(F.avg((F.coalesce("target_rank", F.lit(1 << 30)) <= k).cast("double")), 6).alias(f"strict_top{k}") for k in (1, 3, 5)]
+    return results.groupBy(category).agg(F.count(F.lit(1)).alias("n"), *hits)
+
+
+def errors(results: DataFrame) -> DataFrame:
+    """What failed: the query, its target, and what was found in its place (null: nothing)."""
+    return results.where(~F.col("top1")).select("query_id", "text", "target", "method", "top1_company", "top1_score")
+
+
 def percentiles(values: DataFrame, column: str) -> DataFrame:
     """Mean, p50, p95 and p99 (linear between neighbours)."""
     return values.agg(F.round(F.avg(column), 6).alias("avg"), *[F.round(F.percentile(column, p), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)])

@@ -20,9 +20,9 @@ class MatchConfig:
     tfidf_weight: float = 0.5
     bm25_weight: float = 0.5
     dense_weight: float = 0.5
-    fusion: str = "weighted"
-    rerank_n: int = 10
-    gap_threshold: float = 0.05
+    fusion: str = "adaptive-rerank"
+    rerank_n: int = 50
+    gap_threshold: float = 0.08
     ngram_low: int = 2
     ngram_high: int = 5
     lsa_dims: int = 512
@@ -60,6 +60,8 @@ class Index:
     word_idf: DataFrame
     config: MatchConfig
     stats: dict = field(default_factory=dict)
+    #: Of a latent model: vectors (doc_id, vector) and the projection (term, col, idf, vector).
+    latent: tuple[DataFrame, DataFrame] | None = None
 
     TABLES = ("docs", "grams", "gram_idf", "gram_norms", "words", "word_idf")
 
@@ -69,14 +71,17 @@ class Index:
             df = getattr(self, name)
             key = {"grams": "term", "words": "token"}.get(name)
             (df.repartition(F.col(key)).sortWithinPartitions(key) if key else df).write.mode("overwrite").parquet(f"{path}/{name}")
+        for name, df in zip(("latent_docs", "latent_terms"), self.latent or (), strict=False):
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
         spark = self.docs.sparkSession
-        manifest = json.dumps({"config": asdict(self.config), "stats": self.stats})
+        manifest = json.dumps({"config": asdict(self.config), "stats": self.stats, "latent": self.latent is not None})
         spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         manifest = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/manifest").collect()))
-        return cls(*[spark.read.parquet(f"{path}/{n}") for n in cls.TABLES], MatchConfig(**manifest["config"]), manifest["stats"])
+        latent = tuple(spark.read.parquet(f"{path}/{n}") for n in ("latent_docs", "latent_terms")) if manifest.get("latent") else None
+        return cls(*[spark.read.parquet(f"{path}/{n}") for n in cls.TABLES], MatchConfig(**manifest["config"]), manifest["stats"], latent)
 
 
 def term_counts(rows: DataFrame, key: str, cleaned: str, config: MatchConfig) -> DataFrame:

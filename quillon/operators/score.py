@@ -75,4 +75,7 @@ def substring(queries: DataFrame, docs: DataFrame, limit: int = 3) -> DataFrame:
 def sparse(queries: DataFrame, index: Index) -> DataFrame:
     """Scores of the index's own lexical model."""
     model = model_of(index.config.model)
-    return {"bm25": bm25, "hybrid": hybrid, "bm25-dense": lambda q, i: over_best(bm25(q, i))}.get(model, tfidf)(queries, index)
+    lexical = {"tfidf": tfidf, "bm25": bm25, "hybrid": hybrid}
+    if model not in lexical:
+        raise ValueError(f"{model} is no lexical model; use operators.search.scores")
+    return lexical[model](queries, index)

@@ -63,11 +63,11 @@ def augment(names: DataFrame, column: str = "name", n: int = 3, cap: int | None
 REPLY = "array<struct<original string, variations array<struct<text string, type string>>>>"
 
 
-def parse_replies(replies: DataFrame, column: str = "reply") -> DataFrame:
-    """(original, text, type) rows of JSON replies, fenced or not; unreadable ones give none."""
+def parse_replies(replies: DataFrame, column: str = "reply", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(original, text, type) rows of JSON replies, fenced or not, behind carried columns; unreadable ones give none."""
     body = F.regexp_replace(F.col(column), r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
-    rows = replies.select(F.explode(F.from_json(body, REPLY)).alias("r")).select("r.original", F.explode("r.variations").alias("v"))
-    return rows.select("original", F.col("v.text").alias("text"), F.col("v.type").alias("type"))
+    rows = replies.select(*carry, F.explode(F.from_json(body, REPLY)).alias("r")).select(*carry, "r.original", F.explode("r.variations").alias("v"))
+    return rows.select(*carry, "original", F.col("v.text").alias("text"), F.col("v.type").alias("type"))
 
 
 def eval_corpus(names: DataFrame, column: str = "name") -> DataFrame:
@@ -75,7 +75,7 @@ def eval_corpus(names: DataFrame, column: str = "name") -> DataFrame:
     from .dedup import with_ids
 
     base = names.select(F.trim(column).alias("name")).where("name <> ''").distinct()
-    return with_ids(base, "name", "n").select(F.concat(F.lit("CORP_"), F.lpad(F.col("n").cast("string"), 4, "0")).alias("id"), "name")
+    return with_ids(base, "name", "n").select(F.concat(F.lit("CORP_"), F.when(F.col("n") < 10_000, F.lpad(F.col("n").cast("string"), 4, "0")).otherwise(F.col("n").cast("string"))).alias("id"), "name")
 
 
 def eval_queries(corpus: DataFrame) -> DataFrame:

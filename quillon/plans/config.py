@@ -19,9 +19,10 @@ class PipelineConfig:
     gold_path: str = "data/gold"
     index_path: str = "data/index"
     metrics_path: str = "data/metrics"
-    model_name: str = "tfidf"
-    fusion: str = "weighted"
-    rerank_n: int = 10
+    model_name: str = "tfidf-lsa"
+    fusion: str = "adaptive-rerank"
+    rerank_n: int = 50
+    rerank_threshold: float = 0.08
     remove_stopwords: bool = True
     lsa_dims: int = 512
     max_features: int = 100_000

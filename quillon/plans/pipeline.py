@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import textnorm as T
-from ..operators import dedup, quality, ranking, score
-from ..operators.index import Index, MatchConfig, build_index
+from ..operators import dedup, dense, quality, ranking, score, search
+from ..operators.index import Index, MatchConfig, build_index, model_of
 from ..sources import storage
 from .config import PipelineConfig
 
@@ -77,16 +77,20 @@ def run_index(spark: SparkSession, dedup_path: str, index_path: str, config: Mat
         except Exception as e:  # absent or unreadable: rebuilt
             log.info("no usable index at %s (%s)", index_path, type(e).__name__)
     rows = spark.read.format(fmt).load(dedup_path).select(F.col("canonical_id").alias("doc_id"), F.col("company_name").alias("name"))
-    build_index(rows, config).save(index_path)
+    index = build_index(rows, config)
+    if model_of(config.model) == "lsa":
+        index.latent = dense.latent(index)
+    index.save(index_path)
+    index.docs.unpersist()
     return Index.load(spark, index_path)
 
 
 @logged("match")
-def match(queries: DataFrame, index: Index, top_k: int = 5, min_score: float = 0.0) -> DataFrame:
-    """Ranked matches of (query_id, query_text), by the index's lexical model."""
+def match(queries: DataFrame, index: Index, top_k: int = 5, min_score: float = 0.0, encoder: dense.Encoder | None = None) -> DataFrame:
+    """Ranked matches of (query_id, query_text) by the index's model: lexical, latent, or with a dense side (``encoder``)."""
     quality.require(queries, ["query_id", "query_text"])
     cleaned = score.clean_queries(queries, index.config)
-    return ranking.rank(score.sparse(cleaned, index), cleaned, index, top_k, min_score)
+    return ranking.rank(search.scores(cleaned, index, top_k, encoder), cleaned, index, top_k, min_score)
 
 
 def run_match(queries: DataFrame, index: Index, out_path: str, top_k: int = 5, min_score: float = 0.0, fmt: str = "parquet") -> DataFrame:
@@ -101,7 +105,7 @@ class Pipeline:
 
     def __init__(self, spark: SparkSession, config: PipelineConfig):
         self.spark, self.config = spark, config
-        self.match_config = MatchConfig(model=config.model_name, remove_stopwords=config.remove_stopwords, fusion=config.fusion, rerank_n=config.rerank_n, lsa_dims=config.lsa_dims, max_features=config.max_features)
+        self.match_config = MatchConfig(model=config.model_name, remove_stopwords=config.remove_stopwords, fusion=config.fusion, rerank_n=config.rerank_n, gap_threshold=config.rerank_threshold, lsa_dims=config.lsa_dims, max_features=config.max_features)
 
     def run(self, queries: DataFrame, skip: tuple[int, ...] = ()) -> dict:
         c, spark = self.config, self.spark
@@ -129,3 +133,8 @@ class Pipeline:
         storage.append_metrics(metrics, c.metrics_path, "match")
         alerts = [r.asDict() for r in quality.quality_alerts(metrics, c.min_avg_score, c.min_high_rate).collect()]  # two rows at most
         return {"status": "success", "matches": matches, "metrics": metrics.first().asDict(), "alerts": alerts}
+
+    def cleanup(self) -> None:
+        """Drop cached data and stop the session."""
+        self.spark.catalog.clearCache()
+        self.spark.stop()

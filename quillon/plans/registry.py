@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import textnorm as T
-from ..operators import dedup, dense, evaluate, fusion, fuzzy, quality, ranking, score, variants
+from ..operators import dedup, dense, evaluate, fusion, fuzzy, quality, ranking, score, search, variants
 from ..operators.index import MatchConfig, build_index
 from ..sources import readers, storage
 from ..streaming import matching as streaming
@@ -123,7 +123,7 @@ def char_similarity(spark, d):
 def _match(spark, d, model, top_k=5, min_score=0.0):
     index = build_index(corpus(spark, d), MatchConfig(model=model))
     cleaned = score.clean_queries(name_queries(spark, d), index.config)
-    return ranking.rank(score.sparse(cleaned, index), cleaned, index, top_k, min_score)
+    return ranking.rank(search.scores(cleaned, index, top_k), cleaned, index, top_k, min_score)
 
 
 @query(S.match_sql("tfidf"))
@@ -160,44 +160,40 @@ def match_with_fallback(spark, d):
 
 @query()
 def match_lsa(spark, d):
-    index = build_index(corpus(spark, d), MatchConfig(model="lsa", lsa_dims=16))
-    docs, terms = dense.latent(index)
-    cleaned = score.clean_queries(name_queries(spark, d), index.config)
-    from ..operators.index import term_counts
-
-    w = term_counts(cleaned, "query_id", "cleaned", index.config).join(terms, "term").select("query_id", "col", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    queries = dense.project(w, terms.select("col", "vector"), "query_id")
-    return ranking.rank(dense.topk(queries, docs, 25).drop("rank"), cleaned, index)
+    return _match(spark, d, "tfidf-lsa")
 
 
 @query()
 def match_dense_hashed(spark, d):
     """Weighted TF-IDF and dense scores of the stand-in encoder, over all names that either side can rank."""
-    index = build_index(corpus(spark, d), MatchConfig(model="tfidf-dense"))
+    index = build_index(corpus(spark, d), MatchConfig(model="tfidf-dense", fusion="weighted"))
     cleaned = score.clean_queries(name_queries(spark, d), index.config)
-    encoder = dense.HashedNgrams()
-    q = cleaned.withColumn("vector", encoder.encode(F.lower("query_text")))
-    docs = index.docs.withColumn("vector", encoder.encode(F.lower("name")))
-    lexical = score.tfidf(cleaned, index)
-    near = dense.topk(q, docs, 25).drop("rank")
-    pairs = lexical.select("query_id", "doc_id").union(near.select("query_id", "doc_id")).distinct()
-    return ranking.rank(fusion.weighted(lexical, dense.pair_scores(pairs, q, docs)), cleaned, index)
+    return ranking.rank(search.scores(cleaned, index), cleaned, index)
 
 
 @query()
-def match_gap_rerank(spark, d):
-    """TF-IDF unless its first two results are close; then the ten best by raw-name vectors."""
-    index = build_index(corpus(spark, d), MatchConfig(model="hybrid-cross-lang"))
-    cleaned = score.clean_queries(name_queries(spark, d), index.config)
-    encoder = dense.HashedNgrams()
-    q = cleaned.withColumn("vector", encoder.encode(F.col("query_text")))
-    docs = index.docs.withColumn("vector", encoder.encode(F.col("name")))
-    lexical = fusion.top(score.tfidf(cleaned, index), 20)
-    near = dense.pair_scores(fusion.top(lexical, 10).select("query_id", "doc_id"), q, docs)
-    return ranking.rank(fusion.adaptive(lexical, near, 10, 0.05), cleaned, index)
+def match_bm25_dense(spark, d):
+    return _match(spark, d, "bm25-dense")
 
 
 @query()
+def match_gap_rerank(spark, d):
+    """TF-IDF unless its first two results are close; then the best by the names' vectors."""
+    return _match(spark, d, "hybrid-cross-lang")
+
+
+_JACCARD = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / CAST(len(list_distinct(list_concat({0}, {1}))) AS DOUBLE) END"
+
+
+def _token_set(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '\\s+'), lambda w: w <> ''))"
+
+
+_CROSS = f"""cross10 AS MATERIALIZED (SELECT query_id, doc_id, round(1 / (1 + exp(-(6 * ({_JACCARD.format('a', 'b')}) - 3))), 6) AS score
+FROM (SELECT query_id, doc_id, {_token_set('qs.cleaned')} AS a, {_token_set('docs.cleaned')} AS b FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM tfidf) JOIN qs USING (query_id) JOIN docs USING (doc_id) WHERE r <= 10))"""
+
+
+@query("WITH " + ", ".join([S.NAMES, S.QUERIES, S.DOCS, S.CLEAN_QUERIES, S.TFIDF, _CROSS, S.ranked("cross10")]) + " " + S.RESULT)
 def match_cross_rerank(spark, d):
     index = build_index(corpus(spark, d))
     cleaned = score.clean_queries(name_queries(spark, d), index.config)
@@ -205,7 +201,9 @@ def match_cross_rerank(spark, d):
     return ranking.rank(fusion.cross_rerank(score.tfidf(cleaned, index), cleaned, index.docs, 10, scorer), cleaned, index)
 
 
-@query()
+@query(f"""WITH found AS (SELECT *, {S.clean('query_text')} AS q, {S.clean('matched_company')} AS m FROM ({S.match_sql("tfidf")})),
+gained AS (SELECT *, round(least(1.0, score * CASE WHEN q = m THEN 1.2 WHEN q <> '' AND starts_with(m, q) THEN 1.1 ELSE 1.0 END), 6) AS s FROM found)
+SELECT query_id, query_text, matched_company, canonical_id, s AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS INTEGER) AS rank, match_confidence FROM gained""")
 def match_boosted(spark, d):
     return ranking.boost(_match(spark, d, "tfidf"))
 
@@ -423,8 +421,7 @@ def eval_queries(spark, d):
 def llm_replies(spark, d):
     reply = F.to_json(F.array(F.struct(F.col("p_name").alias("original"), F.array(F.struct(F.lower("p_name").alias("text"), F.lit("informal").alias("type")), F.struct(F.upper("p_name").alias("text"), F.lit("no_accent").alias("type"))).alias("variations"))))
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("```json\n"), reply, F.lit("\n```")).alias("reply"))
-    parsed = rows.select("id", F.explode(F.from_json(F.regexp_replace("reply", r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""), variants.REPLY)).alias("r"))
-    return parsed.select("id", "r.original", F.explode("r.variations").alias("v")).select("id", "original", "v.text", "v.type")
+    return variants.parse_replies(rows, carry=("id",))
 
 
 # --- evaluation: orders are the queries, their lines the ranked results ----------------------------------------------
@@ -485,11 +482,28 @@ def eval_failure_tags(spark, d):
     return evaluate.failure_tags(_outcomes(spark, d))
 
 
-@query()
+@query(f"""WITH {_RES}, f AS (SELECT *, {_token_set(S.clean('text'))} AS a, {_token_set(S.clean('target'))} AS b, {S.clean('target')} AS t FROM o WHERE NOT top1),
+v AS (SELECT *, CASE WHEN t <> '' THEN {_JACCARD.format('a', 'b')} END AS overlap FROM f)
+SELECT count(*) AS n_failed, count(*) FILTER (in_list) AS n_in_list, round(quantile_cont(top1_score, 0.5), 6) AS median_score, round(avg(overlap), 6) AS mean_overlap, count(*) FILTER (overlap = 0) AS n_no_overlap, count(*) FILTER (len(list_filter(string_split(target, ' '), lambda w: w <> '')) <= 3) AS n_short_targets FROM v""")
 def eval_failure_stats(spark, d):
     return evaluate.failure_stats(_outcomes(spark, d))
 
 
+@query(f"WITH {_RES}, p AS (SELECT substr({S.clean('target')}, 1, 3) AS prefix, substr({S.clean('top1_company')}, 1, 3) AS other FROM o WHERE NOT top1 AND top1_company IS NOT NULL) SELECT prefix, count(*) AS n FROM p WHERE prefix = other GROUP BY prefix")
+def eval_confusable_prefixes(spark, d):
+    return evaluate.confusable_prefixes(_outcomes(spark, d))
+
+
+@query(f"WITH {_RES} SELECT method, count(*) AS n, {', '.join(f'round(avg(CASE WHEN target_rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS strict_top{k}' for k in (1, 3, 5))} FROM o GROUP BY method")
+def eval_accuracy_by_method(spark, d):
+    return evaluate.accuracy_by(_outcomes(spark, d))
+
+
+@query(f"WITH {_RES} SELECT query_id, text, target, method, coalesce(top1_company, '') AS top1_company, coalesce(top1_score, -1.0) AS top1_score FROM o WHERE NOT top1")
+def eval_errors(spark, d):
+    return evaluate.errors(_outcomes(spark, d)).fillna(-1.0, ["top1_score"]).fillna("", ["top1_company"])
+
+
 @query()
 def eval_diagnosis(spark, d):
     o = _outcomes(spark, d)

@@ -4,8 +4,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import fusion, ranking, score
+from quillon.operators import dense, fusion, ranking, score
 from quillon.operators.index import Index, MatchConfig, build_index, model_of
+from quillon.plans import pipeline
 
 NAMES = ["Công ty TNHH Hoa Sen", "CTCP Hoa Sen", "Tập đoàn Hòa Phát", "Công ty TNHH XNK ABC", "Công ty TNHH Xuất nhập khẩu ABC", "Nam Sơn Sơn Sơn", ""]
 
@@ -75,6 +76,23 @@ def test_models_and_reload(spark, index, tmp_path):
         assert model_of("nonsense") == "tfidf"
 
 
+@pytest.mark.parametrize("model,fused", [("tfidf-lsa", ""), ("tfidf-dense", "weighted"), ("tfidf-dense", "rrf"), ("tfidf-dense", "tfidf-rerank"), ("tfidf-dense", "union-rerank"), ("tfidf-dense", "adaptive-rerank"), ("bm25-dense", ""), ("hybrid-cross-lang", "")])
+def test_every_model_searches(spark, model, fused, tmp_path):
+    names = spark.createDataFrame([(0, "Công ty TNHH Hoa Sen"), (1, "CTCP Hòa Phát"), (2, "Tập đoàn Vingroup"), (3, "Ngân hàng Á Châu")], "doc_id long, name string")
+    index = build_index(names, MatchConfig(model=model, fusion=fused, lsa_dims=3))
+    if model == "tfidf-lsa":
+        index.latent = dense.latent(index)
+        index.save(str(tmp_path / "i"))
+        index = Index.load(spark, str(tmp_path / "i"))
+    rows = pipeline.match(queries(spark, "tnhh hoa sen", "ctcp hoa phat"), index).where("rank = 1").collect()
+    assert {r.query_id: r.canonical_id for r in rows} == {0: "0", 1: "1"}
+
+
+def test_lexical_scores_refuse_other_models(spark, index):
+    with pytest.raises(ValueError, match="lsa"):
+        score.sparse(queries(spark, "a"), build_index(spark.createDataFrame([(0, "a b")], "doc_id long, name string"), MatchConfig(model="lsa")))
+
+
 def test_empty_inputs(spark):
     empty = build_index(spark.createDataFrame([], "doc_id long, name string"), MatchConfig(model="hybrid"))
     q = score.clean_queries(queries(spark, "a b", None), empty.config)
