@@ -35,12 +35,13 @@ def work_root(spark: SparkSession) -> str:
     return _own_root
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and a lost
-    executor costs a re-read of shared files, not a recomputation."""
+    executor costs a re-read of shared files, not a recomputation.  ``codec``: "uncompressed" for small tables that are
+    read again and again, as every decompression of a file takes buffers outside the heap."""
     spark = df.sparkSession
     path = f"{work_root(spark)}/quillon-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path
     return out

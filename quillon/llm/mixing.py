@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from .common import let, materialise, release, words_of
 DOMAINS = ("high", "low", "toxic")
 #: Steps of the posterior grid per domain, of which documents in one cell share a rate.
 GRID = 128
+#: Files of the table of cells, which has 2 * (GRID + 1)^2 rows at most and is read in every round.
+FILES = 4
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -126,7 +129,7 @@ def solve(cells: DataFrame, weights: dict[str, float], scale: float | None = Non
     import numpy as np
 
     K = range(len(DOMAINS))
-    now = materialise(cells.withColumn("rate", F.lit(1.0)), "cells")
+    now = materialise(cells.withColumn("rate", F.lit(1.0)).coalesce(FILES), "cells", "uncompressed")  # bounded by the grid
     n, p, low = F.col("n"), F.col("p"), F.col("low")
     first = now.agg(*[F.sum(n * p[i]).alias(f"t{i}") for i in K], *[F.sum(n * p[i] * p[j]).alias(f"h{i}{j}") for i in K for j in K]).first()
     got = start = np.array([float(first[f"t{i}"] or 0) for i in K])
@@ -160,7 +163,7 @@ def solve(cells: DataFrame, weights: dict[str, float], scale: float | None = Non
         done = moved <= tol or math.sqrt(past[-1]) <= tol * float(goal.sum())
         size = max(least, square / change) if change > 0 else least
         if len(steps) == keep and not done:
-            old, now = now, materialise(now.withColumn("rate", replay(F.col("rate"), steps, p, low)), "cells")
+            old, now = now, materialise(now.withColumn("rate", replay(F.col("rate"), steps, p, low)), "cells", "uncompressed")
             release(old)
             steps = []
     rates = materialise(now.select("cell", replay(F.col("rate"), steps, p, low).alias("rate")), "rates")
@@ -187,6 +190,8 @@ def solved(docs: DataFrame, labels: DataFrame, weights: dict[str, float], text:
     low = F.when(F.col("p")[DOMAINS.index(protect)] >= 0.5, 1).otherwise(0) if protect else F.lit(0)
     soft = soft.withColumn("cell", cell(F.col("p"), low))
     rates, told = solve(cells_of(soft), weights, scale, protect)
+    if not told["converged"]:
+        warnings.warn(f"mixing stopped after {told['rounds']} rounds at {told['got']}, short of {told['goal']}", stacklevel=3)
     out = soft.join(F.broadcast(rates), "cell")  # at most 2 * (GRID + 1)^2 cells, whatever the corpus
     return out.select("row", "n", "p", "rate", copies_of(F.col("rate"), F.col("key")).alias("copies")), told | {"model": model, "lexicon": words}
 
