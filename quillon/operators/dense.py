@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from typing import Protocol
 
 import numpy as np
@@ -107,6 +108,25 @@ def preview(vector: Column, n: int = 10) -> Column:
     return F.array_join(F.transform(F.slice(vector, 1, n), lambda x: F.format_number(x.cast("double"), 4)), ",")
 
 
+def similarity_table(pairs: DataFrame, encoder: Encoder, left: str = "original", right: str = "variant") -> DataFrame:
+    """Cosine of the vectors of two text columns, beside the texts; null texts are encoded as the encoder does them."""
+    rows = pairs.select(left, right, encoder.encode(F.col(left)).alias("__a"), encoder.encode(F.col(right)).alias("__b"))
+    return rows.select(left, right, F.round(T.cosine(F.col("__a"), F.col("__b")), 6).alias("similarity"))
+
+
+def batch_sweep(texts: DataFrame, make, column: str = "text", sizes: tuple[int, ...] = (32, 64, 128, 256)) -> list[dict]:
+    """Seconds and rows a second of encoding all texts by ``make(batch size)``, one run per size after one to warm up."""
+    n, out = texts.count(), []
+    run = lambda size: texts.select(make(size).encode(F.col(column))).write.format("noop").mode("overwrite").save()
+    run(sizes[0])
+    for size in sizes:
+        began = time.perf_counter()
+        run(size)
+        took = time.perf_counter() - began
+        out.append({"batch": size, "rows": n, "seconds": took, "rows_per_second": n / took})
+    return out
+
+
 def latent(index, dims: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Latent semantics: vectors (doc_id, vector, length 1) and the term projection (term, vector).
 

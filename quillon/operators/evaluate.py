@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,6 +140,24 @@ def errors(results: DataFrame) -> DataFrame:
     return results.where(~F.col("top1")).select("query_id", "text", "target", "method", "top1_company", "top1_score")
 
 
+def latency_stats(milliseconds: list[float]) -> dict[str, float]:
+    """Mean and the values at places n / 2, 0.95 n and 0.99 n of the sorted measurements; empty for none."""
+    xs = sorted(milliseconds)
+    if not xs:
+        return {}
+    return {"avg": sum(xs) / len(xs)} | {f"p{p}": xs[min(len(xs) - 1, p * len(xs) // 100)] for p in (50, 95, 99)}
+
+
+def timed(calls) -> list[float]:
+    """Milliseconds that each of the calls took."""
+    out = []
+    for call in calls:
+        began = time.perf_counter()
+        call()
+        out.append(1000 * (time.perf_counter() - began))
+    return out
+
+
 def percentiles(values: DataFrame, column: str) -> DataFrame:
     """Mean, p50, p95 and p99 (linear between neighbours)."""
     return values.agg(F.round(F.avg(column), 6).alias("avg"), *[F.round(F.percentile(column, p), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)])

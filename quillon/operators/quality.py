@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: names made of nothing but other characters than these are special-only.
@@ -58,6 +58,31 @@ def quality_alerts(metrics: DataFrame, min_avg: float = 0.85, min_high: float =
     return metrics.select(F.explode(checks).alias("c")).select("c.*").where("value < threshold")
 
 
+def metrics_text(metrics: dict, labels: dict[str, int] | None = None) -> str:
+    """The row of ``quality_metrics`` (and counts by confidence label) as lines to read; figures of no rows are left out."""
+    number = lambda x: "-" if x is None else f"{x:.4f}"
+    out = [f"matches: {metrics['total']:,}"]
+    if metrics["total"]:
+        out += [f"score {name}: {number(metrics[f'{name}_score'])}" for name in ("avg", "std", "min", "max")]
+        out += [f"{name} confidence: {metrics[f'n_{name}']:,} ({metrics[f'{name}_rate']:.1%})" for name in ("high", "medium", "low")]
+    return "\n".join(out + [f"label {k}: {n:,}" for k, n in sorted((labels or {}).items())])
+
+
+def print_quality_metrics(metrics: dict, labels: dict[str, int] | None = None) -> None:
+    print(metrics_text(metrics, labels))
+
+
+def memory_probe(spark: SparkSession) -> dict[str, str | int]:
+    """Peak resident bytes of the Python driver, used and largest heap bytes of its JVM, and the memory settings in force."""
+    import resource
+    import sys
+
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * (1 if sys.platform == "darwin" else 1024)
+    named = {k: spark.conf.get(k, "unset") for k in ("spark.driver.memory", "spark.executor.memory", "spark.memory.fraction", "spark.sql.shuffle.partitions")}
+    return {"driver_peak_bytes": peak, "heap_used_bytes": heap.totalMemory() - heap.freeMemory(), "heap_max_bytes": heap.maxMemory()} | named
+
+
 def partition_balance(rows: DataFrame, factor: float = 3.0) -> DataFrame:
     """Rows per partition (empty ones included) and whether the largest exceeds ``factor`` times the mean."""
     n = rows.rdd.getNumPartitions()

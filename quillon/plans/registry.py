@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import textnorm as T
-from ..operators import dedup, dense, evaluate, fusion, fuzzy, quality, ranking, score, search, variants
+from ..operators import dedup, dense, evaluate, fusion, fuzzy, quality, ranking, score, search, variants, wordvec
 from ..operators.index import MatchConfig, build_index
 from ..sources import readers, storage
 from ..streaming import matching as streaming
@@ -147,6 +147,24 @@ def match_substring(spark, d):
     return score.substring(score.clean_queries(name_queries(spark, d), MatchConfig()), docs)
 
 
+_BUCKET = "CAST(('0x' || substr(md5(token), 1, 7)) AS BIGINT) % 10000"
+
+
+def _buckets(table: str, key: str) -> str:
+    return f"SELECT {key}, {_BUCKET} AS bucket, sum(tf) AS tf FROM ({S._tokens(table, key)}) GROUP BY ALL"
+
+
+@query(f"""WITH {", ".join([S.NAMES, S.QUERIES, S.DOCS, S.CLEAN_QUERIES])}, d AS ({_buckets("docs", "doc_id")}), q AS ({_buckets("qs", "query_id")}),
+idf AS (SELECT bucket, ln(((SELECT count(*) FROM docs) + 1) / (count(*) + 1.0)) AS idf FROM d GROUP BY bucket),
+dw AS (SELECT doc_id, bucket, tf * idf AS w FROM d JOIN idf USING (bucket)), qw AS (SELECT query_id, bucket, tf * idf AS w FROM q JOIN idf USING (bucket)),
+dn AS (SELECT doc_id, sqrt(sum(w * w)) AS b FROM dw GROUP BY doc_id), qn AS (SELECT query_id, sqrt(sum(w * w)) AS a FROM qw GROUP BY query_id),
+s AS (SELECT query_id, doc_id, round(dot / (a * b), 6) AS score FROM (SELECT query_id, doc_id, sum(qw.w * dw.w) AS dot FROM qw JOIN dw USING (bucket) GROUP BY ALL) JOIN qn USING (query_id) JOIN dn USING (doc_id) WHERE dot > 0)
+SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5""")
+def match_hashed_words(spark, d):
+    docs = corpus(spark, d).select("doc_id", T.clean_name(F.col("name")).alias("cleaned"))
+    return wordvec.topk(score.clean_queries(name_queries(spark, d), MatchConfig()), docs)
+
+
 @query()
 def match_fuzzy(spark, d):
     return fuzzy.match(name_queries(spark, d), corpus(spark, d))

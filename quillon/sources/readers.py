@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import storage
+
 CORPUS = "id string, name string"
 QUERIES = "id string, text string, target_id string, method string"
 
@@ -67,6 +69,20 @@ def anchors(pages: DataFrame, pattern: str = r"<li><a[^>]*>([^<]*)</a>", low: in
     return found.select(F.trim(F.regexp_replace("name", r"^\d+\s*", "")).alias("name")).where(F.length("name") > low).distinct()
 
 
+#: Links that are headings, as list pages of articles have them.
+HEADINGS = r"(?s)<h2[^>]*>\s*<a[^>]*>([^<]*)</a>"
+
+
+def refresh_list(pages: DataFrame, path: str, pattern: str = HEADINGS) -> DataFrame:
+    """Add the link texts of all pages to a maintained list of names (column ``name``) and return it, sorted and distinct.  The
+    new list is a version of its own, so it's complete before it replaces the one that it was read from."""
+    spark, found = pages.sparkSession, anchors(pages, pattern)
+    if storage.current(spark, path) is not None:
+        found = union_distinct(storage.read_current(spark, path).select("name"), found)
+    storage.commit_version(found.orderBy("name"), path)
+    return storage.read_current(spark, path)
+
+
 def union_distinct(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -1,7 +1,8 @@
 """Sinks and table maintenance over versioned Parquet folders.
 
-A maintained table is a folder with one sub-folder ``v=<n>`` per version and a file ``_current`` that names the
-live one; a version is complete before the pointer moves, so readers never see a half-written table.  All
+A maintained table is a folder with one sub-folder ``v=<n>`` per version and a folder ``_current`` with an empty file
+per finished version, the largest of which is live.  A version is complete before its file appears and nothing is
+overwritten, so readers always find a whole table; of two writers of one version the later one fails.  All
 file operations go through Hadoop's file systems, so any store that Spark writes to will do.
 """
 
@@ -33,7 +34,7 @@ def versions(spark: SparkSession, path: str) -> dict[int, int]:
 
 def current(spark: SparkSession, path: str) -> int | None:
     fs, p = _fs(spark, f"{path}/_current")
-    return int(spark.read.text(f"{path}/_current").first()["value"]) if fs.exists(p) else None
+    return max((int(s.getPath().getName()) for s in fs.listStatus(p)), default=None) if fs.exists(p) else None
 
 
 def commit_version(df: DataFrame, path: str) -> int:
@@ -41,7 +42,9 @@ def commit_version(df: DataFrame, path: str) -> int:
     spark = df.sparkSession
     n = max(versions(spark, path), default=-1) + 1
     df.write.parquet(f"{path}/v={n}")
-    spark.createDataFrame([(str(n),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
+    fs, p = _fs(spark, f"{path}/_current/{n}")
+    if not fs.createNewFile(p):
+        raise FileExistsError(f"{path} has a version {n} already")
     return n
 
 
@@ -65,7 +68,7 @@ def cluster(spark: SparkSession, path: str, *keys: str, files: int = 8) -> int:
 def vacuum(spark: SparkSession, path: str, retention_hours: float = 168) -> list[int]:
     """Delete superseded versions older than the retention; returns their numbers."""
     live, limit = current(spark, path), (time.time() - 3600 * retention_hours) * 1000
-    gone = sorted(v for v, at in versions(spark, path).items() if v != live and at <= limit)
+    gone = sorted(v for v, at in versions(spark, path).items() if live is not None and v < live and at <= limit)
     for v in gone:
         fs, p = _fs(spark, f"{path}/v={v}")
         fs.delete(p, True)
