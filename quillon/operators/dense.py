@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import warnings
 from typing import Protocol
 
 import numpy as np
@@ -127,37 +128,126 @@ def batch_sweep(texts: DataFrame, make, column: str = "text", sizes: tuple[int,
     return out
 
 
-def latent(index, dims: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Latent semantics: vectors (doc_id, vector, length 1) and the term projection (term, vector).
+#: Terms up to which all products of terms are summed at once, so that the decomposition is exact after one pass.
+EXACT = 4096
+#: Vectors beside the wanted ones, and passes at most, of the iteration for larger vocabularies.
+SPARE, PASSES = 32, 40
+
+
+def sparse_rows(weights: DataFrame, key: str) -> DataFrame:
+    """(key, cols, ws): one row per name, its terms in order."""
+    rows = weights.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("col", "w"))).alias("xs"))  # one name's terms per row
+    return rows.select(key, F.col("xs.col").cast("array<int>").alias("cols"), F.col("xs.w").alias("ws"))
+
+
+def dense_parts(batches, size: int = 256):
+    """Of every ``size`` rows of (key, cols, ws): the keys, the columns that they use, and their matrix over these."""
+    for b in batches:
+        for at in range(0, b.num_rows, size):
+            part = b.slice(at, size)
+            cols, ws = part.column(1), part.column(2)
+            used, back = np.unique(cols.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            a = np.zeros((part.num_rows, len(used)))
+            a[np.repeat(np.arange(part.num_rows), np.diff(cols.offsets.to_numpy())), back] = ws.flatten().to_numpy(zero_copy_only=False)
+            yield part.column(0), used, a
+
+
+def gram_product(rows: DataFrame, size: int, q: np.ndarray | None) -> np.ndarray:
+    """A'A q (or A'A) of the rows, scaled to length 1.  Every task sums its own rows; blocks of the sums are added by block."""
+    shared = rows.sparkSession.sparkContext.broadcast(q)
+    width, block = size if q is None else q.shape[1], 64
+
+    def run(batches):
+        q, total = shared.value, np.zeros((size, width))
+        for _, used, a in dense_parts(batches):
+            norm = np.sqrt((a * a).sum(1, keepdims=True))
+            a /= np.where(norm == 0, 1, norm)
+            if q is None:
+                total[np.ix_(used, used)] += a.T @ a
+            else:
+                total[used] += a.T @ (a @ q[used])
+        for k in range(0, size, block):
+            if total[k : k + block].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + block].tobytes()], pa.binary())], ["k", "p"])
+
+    def add(batches):
+        have = {}
+        for b in batches:
+            for k, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(p.as_buffer())
+                have[k] = have[k] + x if k in have else x.copy()
+        for k, x in have.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["k", "p"])
+
+    out = np.zeros((size, width))
+    for r in rows.mapInArrow(run, "k int, p binary").repartition("k").mapInArrow(add, "k int, p binary").toLocalIterator():
+        out[r["k"] : r["k"] + block] = np.frombuffer(bytes(r["p"])).reshape(-1, width)
+    shared.destroy()
+    return out
+
+
+def right_singular(rows: DataFrame, size: int, k: int) -> np.ndarray:
+    """The leading k right singular vectors (size, k) of the rows, fewer if their rank is lower: a direction that no row has would
+    be arbitrary.  Up to EXACT columns from all products of columns; beyond, by subspace iteration until the
+    singular values stand still."""
+    if size <= EXACT or k + SPARE >= size:
+        values, v = np.linalg.eigh(gram_product(rows, size, None))
+    else:
+        q = np.linalg.qr(np.random.default_rng(42).normal(size=(size, k + SPARE)))[0]
+        last = np.zeros(k)
+        for _ in range(PASSES):
+            z = gram_product(rows, size, q)
+            t = q.T @ z
+            values, u = np.linalg.eigh((t + t.T) / 2)
+            v = q @ u
+            if np.abs(values[-k:] - last).max() <= 1e-7 * values[-1]:
+                break
+            last, q = values[-k:], np.linalg.qr(z)[0]
+        else:
+            warnings.warn(f"the singular values still moved after {PASSES} passes", stacklevel=2)
+    live = values[-k:] > max(values[-1], 1e-300) * size * np.finfo(float).eps
+    return np.ascontiguousarray(v[:, -k:][:, live][:, ::-1])
+
 
-    The vocabulary keeps the most frequent terms; the decomposition runs on MLlib's distributed rows."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+def latent(index, dims: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Latent semantics: vectors (doc_id, vector, length 1) and the term projection (term, col, idf, vector).
 
+    The vocabulary keeps the most frequent terms; names stay distributed, and the driver holds the projection."""
     spark, c = index.docs.sparkSession, index.config
     vocabulary = index.grams.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(c.max_features)
     vocabulary = vocabulary.join(index.gram_idf, "term").withColumn("col", F.row_number().over(Window.orderBy("term")) - 1).cache()  # bounded by max_features
     size = vocabulary.count()
     w = index.grams.join(vocabulary, "term").select("doc_id", "col", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    rows = w.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("col", "w"))).alias("xs")).orderBy("doc_id")  # one name's terms per row
+    rows = sparse_rows(w, "doc_id").cache()
+    n = rows.count()
+    v = right_singular(rows, size, max(1, min(dims or c.lsa_dims, n, size))) if size else np.zeros((0, 1))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))
+    projection = spark.createDataFrame(pa.table({"col": pa.array(np.arange(size), pa.int32()), "vector": lists}))
+    return projected(rows, v, "doc_id"), vocabulary.select("term", "col", "idf").join(projection, "col")
 
-    def sparse_row(r):
-        norm = sum(x["w"] ** 2 for x in r["xs"]) ** 0.5 or 1.0
-        return Vectors.sparse(size, [x["col"] for x in r["xs"]], [x["w"] / norm for x in r["xs"]])
 
-    n = rows.count()
-    k = max(1, min(dims or c.lsa_dims, n - 1, size - 1))
-    svd = RowMatrix(rows.rdd.map(sparse_row)).computeSVD(k, computeU=False)
-    v = svd.V.toArray()  # max_features x k at most
-    terms = vocabulary.select("term", "col", "idf")
-    projection = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(size)], "col int, vector array<double>")
-    return project(w, projection, "doc_id"), terms.join(projection, "col")
+def projected(rows: DataFrame, vectors: np.ndarray, key: str) -> DataFrame:
+    """(key, vector) of (key, cols, ws): weighted sums of the columns' vectors, scaled to length 1."""
+    shared = rows.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(batches):
+        for keys, used, a in dense_parts(batches):
+            x = a @ shared.value[used]
+            norm = np.sqrt((x * x).sum(1, keepdims=True))
+            x /= np.where(norm == 0, 1, norm)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([keys, lists], [key, "vector"])
+
+    return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, vector array<double>")
 
 
 def project(weights: DataFrame, projection: DataFrame, key: str) -> DataFrame:
-    """Weighted sums of term vectors per key, scaled to length 1."""
-    terms = weights.join(projection, "col").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("col", "w", "vector"))).alias("xs"))  # one name's terms per row
-    added = F.aggregate(F.slice("xs", 2, 1 << 30), F.transform(F.col("xs")[0]["vector"], lambda v: v * F.col("xs")[0]["w"]), lambda a, s: F.zip_with(a, s["vector"], lambda x, v: x + s["w"] * v))
-    vectors = terms.select(key, added.alias("vector"))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    return vectors.withColumn("n", norm).select(key, F.when(F.col("n") > 0, F.transform("vector", lambda x: x / F.col("n"))).otherwise(F.col("vector")).alias("vector"))
+    """``projected`` for (key, col, w) and a projection (col, vector), which passes through the driver."""
+    told = projection.select("col", "vector").toArrow()
+    size = told.num_rows
+    vectors = np.zeros((size, 1))
+    if size:
+        flat = told.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(size, -1)
+        vectors = np.empty_like(flat)
+        vectors[told.column("col").to_numpy()] = flat
+    return projected(sparse_rows(weights, key), vectors, key)

@@ -114,3 +114,27 @@ def test_fuzzy_scores_names_without_a_common_token(spark):
     asked = spark.createDataFrame([(1, "vinamlik"), (2, "hoa phat")], "query_id long, query_text string")
     got = {r.query_id: (r.doc_id, r.score) for r in fuzzy.match(asked, names, 1).collect()}
     assert got == {1: (1, 0.88), 2: (2, 1.0)}
+
+
+@pytest.mark.parametrize("exact", [4096, 0])
+def test_latent_vectors_equal_a_plain_decomposition(spark, exact, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(dense, "EXACT", exact)
+    words = ["sen", "hoa", "vang", "bac", "nam", "song", "dong", "minh", "xanh", "long"]
+    names = spark.createDataFrame([(i, f"{words[i % 10]} {words[i // 10 % 10]} {words[i * 7 // 3 % 10]}") for i in range(100)], "doc_id long, name string")
+    index = build_index(names, MatchConfig(model="lsa", lsa_dims=6))
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    docs, terms = dense.latent(index)
+    got = {r.doc_id: np.array(r.vector) for r in docs.collect()}
+    assert len(tracker.getJobIdsForGroup()) - before < (30 if exact else 150)
+    cols = {r.term: (r.col, r.idf) for r in terms.collect()}
+    a = np.zeros((100, len(cols)))
+    for r in index.grams.collect():
+        a[r.doc_id, cols[r.term][0]] = (1 + np.log(r.tf)) * cols[r.term][1]
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    x = a @ np.linalg.svd(a, full_matrices=False)[2][:6].T
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = np.array([got[i] for i in range(100)])
+    assert g.shape == (100, 6) and np.abs(g @ g.T - x @ x.T).max() < (1e-9 if exact else 1e-3)
