@@ -37,6 +37,30 @@ def test_quality_odd(spark, odd, none, labels):
     assert once == twice
 
 
+def test_every_labelled_row_teaches_quality(spark):
+    from pyspark.sql import functions as F
+
+    ids = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, "good words here" if i % 3 else "### bad $$") for i in range(9000)], "doc_id long, text string").repartition(7)
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("quality"))
+    have = quality.labelled_rows(docs, labels)
+    assert sorted(r.doc_id for r in have.select("doc_id").collect()) == ids
+
+
+def test_all_pairs_of_good_and_bad_count(spark):
+    r = np.random.default_rng(3)
+    m = len(quality.NAMES)
+    x, y = r.normal(size=(60, m)), r.integers(0, 2, 60)
+    x += 0.6 * y[:, None]
+    model = quality.fit(spark.createDataFrame([(int(b), [float(v) for v in a]) for a, b in zip(x, y, strict=True)], "y int, x array<double>").repartition(3), width=1e-6)
+    d = (x[y == 1][:, None] - x[y == 0][None]).reshape(-1, m)
+    slope = d.T @ (1 / (1 + np.exp(d @ model["w"]))) / len(d) - 1e-3 * model["w"]
+    assert np.abs(slope).max() < 1e-6  # the best weights for every pair, not for drawn ones
+    assert abs(model["cut"] - np.quantile(x @ model["w"], (y == 0).mean())) < 1e-9
+    coarse = quality.fit(spark.createDataFrame([(int(b), [float(v) for v in a]) for a, b in zip(x, y, strict=True)], "y int, x array<double>"))
+    assert np.abs(coarse["w"] - model["w"]).max() < 0.01 * np.abs(model["w"]).max()
+
+
 def longest_phrases(reference, text):
     n = i = 0
     while i < len(text):
