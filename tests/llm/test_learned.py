@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import langid, lm, quality
@@ -169,6 +170,19 @@ def test_every_training_document_teaches(spark):
     assert lm.Attention.score(model.tables(), grams, x, y, live).sum() > kinds
 
 
+def test_every_window_teaches(spark, monkeypatch):
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    train = spark.createDataFrame([(i, " ".join(f"w{(i + 1) * k % 89}" for k in range(40 * i))) for i in range(30)], "doc_id long, text string").repartition(3)
+    counts, coder, told = lm.word_counts(train), lm.Subwords(path), []
+    plain = lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda *a: told.append(plain(*a)))
+    _, grams = lm.fit(train, counts, path)
+    want = sum(len(coder.ids([w.decode() for w in lm.tokens(r.text)])) + 1 for r in train.collect())
+    assert told == [want]  # not one run in some
+    flat, stop = next(lm.chosen(iter([pa.RecordBatch.from_pylist([{"text": "one two " * 100}, {"text": None}, {"text": "three"}])]), path, np.arange(coder.end + 1), lm.WHOLE, 1))
+    assert [x.tolist() for x in np.split(flat, stop[:-1])] == [[*coder.ids(x.split()).tolist(), coder.end] for x in ("one two " * 100, "", "three")]
+
+
 def test_end_token_beyond_the_broadcast(spark, odd, monkeypatch):
     path = tokenizer("byte_bpe_50k.tiktoken")
     want = {(r.doc_id, r.n_tokens): (r.n_known, r.base_score) for r in lm.op9(odd, path).collect()}
