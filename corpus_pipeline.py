@@ -29,7 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates: five-word shingle sets with a Jaccard
+    """One document, that of the smallest id, of each group of near-duplicates, by SimHash fingerprints in multi-index tables, an
+    exact check of what they find, and an exact search for what lies beyond their reach: five-word shingle sets with a Jaccard
     similarity of 0.8 or more, and what such links join.  Of rows without an id, one per text stays, if no id does."""
     return simhash.keep_one(docs)
 

@@ -6,7 +6,8 @@ fingerprints that differ in at most 3 m - 1 bits meet under some value, where al
 comes out is a spanning forest of the verified links per table entry, so no link is lost and no group is spelled
 out as pairs.  Two segments serve a radius of 4 or 5; four segments a radius of up to 11, with fuller entries.
 
-The pipeline's stage decides on exact similarities of shingle sets instead; minima of the sets in bands find its candidates.
+The pipeline's stage finds its first candidates in the same tables and decides on exact similarities of shingle sets.  Similar
+sets can differ in more bits than the tables reach, so minima of the sets in bands find what is still apart.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import fresh, materialise, own_columns, release
 from .graph import components
 
 RADIUS = 4
+#: Differing bits up to which two segments find every pair, which the pipeline's stage uses whole.
+REACH = 5
 #: Minima of the shingle set in a band, and bands: a pair at a Jaccard similarity of 0.8 shares no band with chance (1 - 0.8^4)^24 = 3e-6.
 ROWS, BANDS = 4, 24
 #: Counters of the sketch that tells rare shingles from common ones; it orders, and so only speed depends on it.
@@ -93,13 +96,13 @@ def band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def shingle_sets(shingle: int):
-    """A pandas UDF text -> struct(node, bands): the hash of its set of shingles, and its band keys."""
+    """A pandas UDF text -> struct(node, fp, bands): the hash of its set of shingles, the set's fingerprint, and its band keys."""
 
-    @F.pandas_udf("node long, bands array<long>")
+    @F.pandas_udf("node long, fp long, bands array<long>")
     def run(parts: pd.Series) -> pd.DataFrame:
         sets = [np.unique(shingle_hashes(t, shingle)) for t in parts]
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"node": nodes, "bands": [band_keys(s) for s in sets]})
+        return pd.DataFrame({"node": nodes, "fp": np.array([majority(s) for s in sets], np.uint64).view(np.int64), "bands": [band_keys(s) for s in sets]})
 
     return run
 
@@ -246,6 +249,18 @@ def op8(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return marked.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def fingerprint_pairs(marked: DataFrame) -> DataFrame:
+    """Pairs (u, v), u < v, of the nodes of (node, fp): candidates from the multi-index tables.  What they join is what all pairs with
+    REACH or fewer differing bits join; of the nodes of one fingerprint the smallest stands for it."""
+    own = materialise(marked.groupBy("fp").agg(F.min("node").alias("first")), "fp")
+    left, right = own.select(F.col("fp").alias("u"), F.col("first").alias("a")), own.select(F.col("fp").alias("v"), F.col("first").alias("b"))
+    near = links(own.select("fp"), REACH).join(left, "u").join(right, "v").select("a", "b")
+    same = marked.join(own, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    out = materialise(near.unionByName(same).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "near")
+    release(own)
+    return out
+
+
 def sets_of(nodes: DataFrame, laid: DataFrame, shingle: int) -> DataFrame:
     """``nodes`` with their shingle sets, made anew from a text of each."""
     found = laid.select("node", "text").join(nodes, "node").dropDuplicates(["node"])
@@ -336,12 +351,14 @@ def prefix_pairs(sets: DataFrame, least: float) -> DataFrame:
 
 
 def set_classes(laid: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``node``, ``root`` for the nodes of (node, bands, text) that are linked to another.  Candidates share a band key.
+    """``node``, ``root`` for the nodes of (node, fp, bands, text) that are linked to another.  Candidates come from the multi-index
+    tables of fingerprints, and share a band key where similar sets differ in more bits than those reach.
 
-    Every node is first compared with one other, the node that leads most of its keys, which joins groups of near copies
+    Besides its pairs of fingerprints every node is first compared with one other, the node that leads most of its keys, which joins groups of near copies
     in as many comparisons as rows; a key is led by the node that meets most others, as the text does that the others
     were copied from.  What then still lies in different components under some key goes through
     ``prefix_pairs``, which misses no similar pair of theirs."""
+    near = fingerprint_pairs(laid.select("node", "fp").distinct())
     entries = materialise(laid.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key")), "entries")
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialise(entries.join(sizes, "key"), "met")
@@ -351,7 +368,9 @@ def set_classes(laid: DataFrame, shingle: int, least: float) -> DataFrame:
     release(bare)
     leads = met.groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("lead"))
     votes = met.join(leads, "key").where("node != lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
-    tried = materialise(votes.groupBy("node").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead")).select(F.col("lead").alias("u"), F.col("node").alias("v")), "tried")
+    votes = votes.groupBy("node").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
+    tried = materialise(near.unionByName(votes.select(F.least("lead", "node").alias("u"), F.greatest("lead", "node").alias("v"))).distinct(), "tried")
+    release(near)
     sets = sets_of(tried.select(F.col("u").alias("node")).union(tried.select("v")).distinct(), laid, shingle)
     links = verified(tried, sets, least)
     release(sets)
@@ -376,7 +395,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame
     f, node, root = (fresh(x, docs) for x in ("__sets", "__node", "__id"))
     wide = materialise(docs.withColumn(f, shingle_sets(shingle)(F.col("text"))), "wide")
     at = F.col(f"{f}.node")
-    laid = wide.select(at.alias("node"), F.col(f"{f}.bands").alias("bands"), "text")
+    laid = wide.select(at.alias("node"), F.col(f"{f}.fp").alias("fp"), F.col(f"{f}.bands").alias("bands"), "text")
     found = set_classes(laid, shingle, least)
     marked = wide.select("doc_id", at.alias("node"))
     own = marked.groupBy("node").agg(F.min("doc_id").alias("least"))  # exact copies combine before the shuffle

@@ -183,6 +183,27 @@ def test_near_copies_of_a_table(spark):
     assert {x.doc_id for x in simhash.keep_one(docs).collect()} == kept_by_brute_force(rows)
 
 
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
+    """Without the bands, the stage joins what fingerprints within reach and an exact similarity of 0.8 join."""
+    r = np.random.default_rng(6)
+    rows = []
+    for group in range(25):
+        base = [f"g{group}w{i}" for i in range(300)]
+        for copy in range(4):
+            words = list(base)
+            for k in r.integers(0, 300, copy):
+                words[k] = f"new{r.integers(0, 10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    fps = [simhash.majority(s) for s in sets]
+    near = [(i, j) for j in range(len(rows)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= simhash.REACH]
+    assert all(len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) for i, j in near)
+    want = set(components(near, list(range(len(rows)))).values())
+    assert 25 <= len(want) < 50
+    monkeypatch.setattr(simhash, "band_keys", lambda s: [])
+    assert {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()} == want
+
+
 def test_names_of_private_columns_may_occur(spark, odd):
     clash = odd.withColumnsRenamed({"score": "__sets", "fp": "__node", "word": "node", "label": "__id", "shard": "bands"})
     out = simhash.keep_one(clash)
