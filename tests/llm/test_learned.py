@@ -308,3 +308,37 @@ def test_lm_beats_words_and_subwords_on_held_out_texts(spark):
     assert score > single + n and score > base + 0.02 * n
     better = np.mean([r.score > r.base_score for r in held])
     assert better > 0.55, better
+
+
+def test_texts_are_encoded_once(spark, odd, monkeypatch):
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    coder, read = lm.Subwords(path), []
+    plain = lm.readable
+    monkeypatch.setattr(lm, "readable", lambda train: read.append(plain(train).columns) or plain(train))
+    lm.op9(odd, path).collect()
+    assert read == 3 * [["ids"]]  # neither the kinds' start, nor kinds, nor weights split a text again
+    texts = pa.array(["one two " * 100, None, "", " \n", "日本語 ▁ <|endoftext|> \x00 é́ X", "x" * 500])
+    flat, stop = lm.unpacked(lm.packed(*lm.coded(texts, coder)[3:]).slice(1, 4))
+    assert [x.tolist() for x in np.split(flat, stop[:-1])] == [[*coder.ids([w.decode() for w in lm.tokens(t)]).tolist(), coder.end] for t in texts.to_pylist()[1:5]]
+    for every in (1, 3):  # the same runs from ids as from texts
+        a, b = (next(lm.chosen(iter([pa.RecordBatch.from_arrays([x], ["x"])]), path, np.arange(coder.end + 1), 16, every)) for x in (texts, lm.packed(*lm.coded(texts, coder)[3:])))
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+    word = [w for w in texts.to_pylist()[0].split()]
+    ends = np.cumsum([len(coder.ids(word[i : i + 96])) for i in range(0, 200, 96)])
+    got = next(lm.chosen(iter([pa.RecordBatch.from_arrays([texts[:1]], ["x"])]), path, np.arange(coder.end + 1), 96, 1))[1]
+    assert got.tolist() == [*ends[:-1].tolist(), ends[-1] + 1]
+
+
+def test_steps_take_whole_batches_and_leave_no_window():
+    grams, r = grams_of(12), np.random.default_rng(3)
+    steps, seen = lm.Steps(lm.Attention(grams.n), grams, batch=8), []
+    plain = steps.model.gradient
+    steps.model.gradient = lambda g, x, y, rows: seen.append(sorted(y[rows][y[rows] >= 0].tolist())) or plain(g, x, y, rows)
+    texts = [r.integers(0, 11, int(n)) for n in r.integers(0, 200, 40)]
+    for s in texts:
+        steps.add(s)
+    steps.flush()
+    windows = sum(-(-len(s) // lm.STEP) for s in texts)
+    assert len(seen) == -(-windows // 8) and sorted(sum(seen, [])) == sorted(np.concatenate(texts).tolist())
+    moments = np.concatenate([np.abs(m).ravel() for moments in (steps.m, steps.v) for m in moments.values()])
+    assert moments[moments > 0].min() > 1e-37  # none so small that it slows every step
